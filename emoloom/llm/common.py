@@ -72,5 +72,21 @@ def tokenizer_path(name: str, folder: str | None = None) -> str:
     return os.path.join(folder or os.environ.get("TOKENIZER_DIR", "/opt/tokenizers"), name)
 
 
+_KEPT: dict[str, object] = {}
+
+
+def kept(key: str, make):
+    """``make()``, once in each Python worker for a key (a fresh one a query)."""
+    if key not in _KEPT:
+        while len(_KEPT) >= 4:
+            _KEPT.pop(next(iter(_KEPT)))
+        _KEPT[key] = make()
+    return _KEPT[key]
+
+
+def fresh_key() -> str:
+    return uuid.uuid4().hex
+
+
 def column(batch: pa.RecordBatch, name: str) -> list:
     return batch.column(batch.schema.get_field_index(name)).to_pylist()

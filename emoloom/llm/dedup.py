@@ -109,9 +109,10 @@ def entries(df: DataFrame, id_col: str = "internal_id", text: str = "text", voca
     """(key, ids): canonical bytes with the ids that have them within one batch."""
     common.ship(df.sparkSession)
     words = df.sparkSession.sparkContext.broadcast(vocabulary(df, text, vocabulary_limit))
+    kept = common.fresh_key()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        to = Keys(words.value)
+        to = common.kept(kept, lambda: Keys(words.value))
         for batch in batches:
             own: dict[bytes, list[int]] = {}
             for i, t in zip(common.column(batch, "id"), common.column(batch, "text")):

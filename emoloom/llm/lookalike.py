@@ -180,10 +180,11 @@ def canonical_text(df: DataFrame, text: str = "text", out: str = "canonical_text
     that ``df`` already has is replaced."""
     common.ship(df.sparkSession)
     words = df.sparkSession.sparkContext.broadcast(vocabulary(df, text, vocabulary_limit))
+    key = common.fresh_key()
 
     @F.pandas_udf("string")
     def form(batches: Iterator) -> Iterator:
-        to = Canonicaliser(words.value)
+        to = common.kept(key, lambda: Canonicaliser(words.value))
         for texts in batches:
             yield texts.map(to.text, na_action="ignore")
 
@@ -195,10 +196,11 @@ def keys(df: DataFrame, id_col: str = "internal_id", text: str = "text", vocabul
     it stands but for runs of blanks; one row for each text that can be a case."""
     common.ship(df.sparkSession)
     words = df.sparkSession.sparkContext.broadcast(vocabulary(df, text, vocabulary_limit))
+    key = common.fresh_key()
     schema = pa.schema([("id", pa.int64()), ("look", pa.binary()), ("code", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        to, digest = Canonicaliser(words.value), xxhash.xxh3_128_digest
+        to, digest = common.kept(key, lambda: Canonicaliser(words.value)), xxhash.xxh3_128_digest
         for batch in batches:
             ids, looks, codes = [], [], []
             for i, t in zip(common.column(batch, "id"), common.column(batch, "text")):

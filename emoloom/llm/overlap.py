@@ -104,12 +104,13 @@ def sequences(df: DataFrame, id_col: str, text: str, counts: dict[str, int]) ->
     of their counts."""
     common.ship(df.sparkSession)
     known = df.sparkSession.sparkContext.broadcast(counts)
+    kept = common.fresh_key()
     kind = dict(df.select(id_col).dtypes)[id_col]
     of = {"bigint": pa.int64(), "int": pa.int32()}.get(kind, pa.string())
     schema = pa.schema([("id", of), ("look", pa.binary()), ("words", pa.binary()), ("sequence", pa.list_(pa.int64())), ("weights", pa.list_(pa.int16()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        to, memo = Keys(list(known.value)), {}
+        to, memo = common.kept(kept, lambda: (Keys(list(known.value)), {}))
         often = {to.plain(w): round(8 * math.log2(n)) for w, n in known.value.items()}
         digest = xxhash.xxh3_128_digest
         for batch in batches:
