@@ -17,6 +17,7 @@ import re
 import unicodedata
 from collections.abc import Iterator
 
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
@@ -183,7 +184,7 @@ def canonical_text(df: DataFrame, text: str = "text", out: str = "canonical_text
     key = common.fresh_key()
 
     @F.pandas_udf("string")
-    def form(batches: Iterator) -> Iterator:
+    def form(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         to = common.kept(key, lambda: Canonicaliser(words.value))
         for texts in batches:
             yield texts.map(to.text, na_action="ignore")
