@@ -27,62 +27,72 @@ MARKS = ("আরও পড়ুন", "আরো পড়ুন", "আরও 
 RARE = 0.02  # the most of its places where the ending of a cut text ends a sentence
 LEAST = 4  # places that a trigram, pair or word must have to tell
 
+MOST_KEYS = 2_000_000  # 16 MB of keys are broadcast; beyond, the join is shuffled
+
 _EMOJI = r"[\x{1F000}-\x{1FAFF}\x{2600}-\x{27BF}\x{FE0F}\x{200D}]"
-_MARKS = "|".join(MARKS).replace("য়", "(?:য়|য়)").replace("ড়", "(?:ড়|ড়)").replace("ঢ়", "(?:ঢ়|ঢ়)").replace("ढ़", "(?:ढ़|ढ़)")
-_BLANK = r"[\s\x{A0}\x{AD}\x{2000}-\x{200F}\x{2060}\x{3000}\x{FEFF}]+"
+_MARKS = "|".join(MARKS).replace("য়", "(?:য়|য়)").replace("ড়", "(?:ড়|ড়)").replace("ঢ়", "(?:ঢ়|ঢ়)").replace("ढ़", "(?:ढ़|ढ़)")
+# Blanks; marks that end a sentence; other marks, which go.
+_BLANKS, _ENDS, _OTHERS = "\t\v\f\u00a0\u2009\u200a\u202f\u2003\u3000", "।॥.!?…\n\r", ",;:\"()[]|“”‘’—–'�\u00ad\u200b\u200e\u200f\u2060\ufeff"
+
 
+def _sql_text(x: str) -> str:
+    return "'" + "".join("\\\\" if c == "\\" else "\\'" if c == "'" else f"\\u{ord(c):04x}" if ord(c) < 32 or 0x7F <= ord(c) < 0xB0 or 0x2000 <= ord(c) < 0x2070 or c == "\ufeff" else c for c in x) + "'"
 
-def _words(text: str) -> str:
-    """SQL for the words of a text, a pilcrow for every end of a sentence; other marks go."""
-    ends = rf"regexp_replace(lower({text}), r'https?://\S+|#\S+|[।॥.!?…\n\r]+|{_EMOJI}+', ' ¶ ')"
-    return rf"split(trim(regexp_replace(translate({ends}, ',;:\"()[]|“”‘’—–''�', ''), r'{_BLANK}', ' ')), ' ')"
 
+#: The text as words with a pilcrow for every mark that ends a sentence.
+_PLAIN = f"trim(replace(translate(lower(t), {_sql_text(_BLANKS + _ENDS + _OTHERS)}, {_sql_text(' ' * len(_BLANKS) + '¶' * len(_ENDS))}), '¶', ' ¶ '))"
 
-TEXTS = rf"""SELECT *, {_words("t")} AS w FROM
-    (SELECT {{id}} AS id, {{source}} AS source, regexp_replace({{text}}, r'{_BLANK}$', '') AS t FROM {{rows}} WHERE {{text}} IS NOT NULL)
-    WHERE t <> ''"""
+TEXTS = f"""SELECT id, source, t, plain, split(plain, ' +') AS w FROM (SELECT id, source, t, {_PLAIN} AS plain FROM
+    (SELECT {{id}} AS id, {{source}} AS source, rtrim({_sql_text(" " + chr(10) + chr(13) + _BLANKS + chr(0x200B) + chr(0x200E) + chr(0x200F) + chr(0x2060) + chr(0xFEFF) + chr(0xAD))}, {{text}}) AS t FROM {{rows}} WHERE {{text}} IS NOT NULL)
+    WHERE t <> '')"""
 
 FINALS = rf"""SELECT id, source, stopped, signed, decorated, short,
-        xxhash64(element_at(f, -3), element_at(f, -2), element_at(f, -1)) AS three, xxhash64(element_at(f, -2), element_at(f, -1)) AS two, xxhash64(element_at(f, -1)) AS one
+        xxhash64(3, element_at(f, -3), element_at(f, -2), element_at(f, -1)) AS three, xxhash64(2, element_at(f, -2), element_at(f, -1)) AS two, xxhash64(1, element_at(f, -1)) AS one
     FROM (SELECT id, source, size(w) <= 3 AS short,
-            t RLIKE r'�$|,$|(?i)(?:\.\.+|…)\s*(?:{_MARKS})$' AS signed,
-            t RLIKE r'(?:^|[^.…])[।॥!?.][\"”’)\]''»]*$' AS stopped,
-            t RLIKE r'(?:{_EMOJI}|(?:^|\s)#\S+|https?://\S+)[.…]*$' AS decorated,
-            concat(array('^', '^'), {_words(r"regexp_replace(t, r'(?:\.\.+|…)$', '')")}) AS f FROM {{texts}})"""
+            endswith(t, '�') OR endswith(t, ',') OR right(t, 64) RLIKE r'(?i)(?:\.\.+|…)\s*(?:{_MARKS})$' AS signed,
+            right(t, 8) RLIKE r'(?:^|[^.…])[।॥!?.][\"”’)\]''»]*$' AS stopped,
+            right(t, 64) RLIKE r'{_EMOJI}[.…]*$' OR substring_index(t, ' ', -1) RLIKE r'(?:^|\s)(?:#\S+|https?://\S+)[.…]*$' AS decorated,
+            concat(array('^', '^'), split(rtrim(' ¶', plain), ' +')) AS f FROM {{texts}})"""
+
+OPEN = "NOT (signed OR stopped OR decorated OR short)"
 
-GRAMS = """SELECT three, two, one, count_if(d = '¶') AS ends, count_if(d NOT IN ('¶', '$')) AS inside FROM
-    (SELECT xxhash64(g.a, g.b, g.w) AS three, xxhash64(g.b, g.w) AS two, xxhash64(g.w) AS one, g.d AS d FROM
+KEYS = "SELECT DISTINCT explode(array(three, two, one)) AS key FROM {finals} WHERE {open}"
+
+# Every word with the two before it; whether a sentence ends behind it.
+GRAMS = """SELECT {hint} key, count_if(ends) AS ends, count_if(NOT ends) AS inside FROM
+    (SELECT explode(array(xxhash64(3, g.a, g.b, g.w), xxhash64(2, g.b, g.w), xxhash64(1, g.w))) AS key,
+            g.d = '¶' OR startswith(g.d, '#') OR startswith(g.d, 'http') OR ascii(g.d) BETWEEN 9728 AND 10175 OR ascii(g.d) >= 126976 AS ends FROM
         (SELECT explode(arrays_zip(a, b, w, d)) AS g FROM
             (SELECT concat(array('^', '^'), w) AS a, concat(array('^'), w) AS b, w, concat(slice(w, 2, size(w)), array('$')) AS d FROM {texts}))
-        WHERE g.w <> '¶')
-    LEFT SEMI JOIN (SELECT DISTINCT one AS last FROM {finals} WHERE {open}) ON one = last
-    GROUP BY three, two, one"""
-
-OPEN = "NOT (signed OR stopped OR decorated OR short)"
+        WHERE g.w <> '¶' AND g.d <> '$')
+    LEFT SEMI JOIN {keys} k USING (key) GROUP BY key"""
 
 CUTS = """SELECT id, source, signed OR ({open} AND
         CASE WHEN e3 + i3 >= {least} THEN e3 <= {rare} * (e3 + i3) WHEN e2 + i2 >= {least} THEN e2 <= {rare} * (e2 + i2)
              WHEN e1 + i1 >= {least} THEN e1 <= {rare} * (e1 + i1) ELSE true END) AS cut
     FROM {finals} f
-    LEFT JOIN (SELECT three, sum(ends) AS e3, sum(inside) AS i3 FROM {grams} GROUP BY three) g3 ON f.three = g3.three AND {open}
-    LEFT JOIN (SELECT two, sum(ends) AS e2, sum(inside) AS i2 FROM {grams} GROUP BY two) g2 ON f.two = g2.two AND {open}
-    LEFT JOIN (SELECT one, sum(ends) AS e1, sum(inside) AS i1 FROM {grams} GROUP BY one) g1 ON f.one = g1.one AND {open}"""
+    LEFT JOIN (SELECT key, ends AS e3, inside AS i3 FROM {grams}) g3 ON f.three = g3.key AND {open}
+    LEFT JOIN (SELECT key, ends AS e2, inside AS i2 FROM {grams}) g2 ON f.two = g2.key AND {open}
+    LEFT JOIN (SELECT key, ends AS e1, inside AS i1 FROM {grams}) g1 ON f.one = g1.key AND {open}"""
 
 
 def truncated(docs: DataFrame, id_col: str = "doc_id", text: str = "text", source: str = "source", rare: float = RARE, least: int = LEAST) -> DataFrame:
     """(id, source, cut) of every text that isn't null or blank."""
     spark, own = docs.sparkSession, uuid.uuid4().hex[:8]
-    name = {k: f"{k}_{own}" for k in ("rows", "texts", "finals", "grams")}
+    name = {k: f"{k}_{own}" for k in ("rows", "texts", "finals", "keys", "grams")}
     docs.createOrReplaceTempView(name["rows"])
 
-    def filled(sql: str) -> str:
-        for k, v in {**name, "id": id_col, "text": text, "source": source, "open": OPEN, "least": least, "rare": rare}.items():
+    def filled(sql: str, **more: str) -> str:
+        for k, v in {**name, "id": id_col, "text": text, "source": source, "open": OPEN, "least": least, "rare": rare, **more}.items():
             sql = sql.replace("{" + k + "}", str(v))
         return sql
 
     spark.sql(filled(TEXTS)).createOrReplaceTempView(name["texts"])
     common.cut(spark.sql(filled(FINALS)), "finals").createOrReplaceTempView(name["finals"])
-    spark.sql(filled(GRAMS)).createOrReplaceTempView(name["grams"])
+    keys = common.cut(spark.sql(filled(KEYS)), "keys")
+    keys.createOrReplaceTempView(name["keys"])
+    hint = "/*+ BROADCAST(k) */" if keys.count() <= MOST_KEYS else ""
+    common.cut(spark.sql(filled(GRAMS, hint=hint)), "grams").createOrReplaceTempView(name["grams"])
     return spark.sql(filled(CUTS))
 
 
