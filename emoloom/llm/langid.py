@@ -243,10 +243,17 @@ def fit(rows: list[tuple[str, str]]) -> Models:
 
 
 def fitted(df: DataFrame, id_col: str, text: str, label: str, training_rows: int) -> Models:
-    """Models of ``training_rows`` labelled rows at most, chosen by hash."""
-    rows = df.select(label_column(F.col(label)).alias("k"), F.col(text).alias("t"), F.xxhash64(F.col(id_col)).alias("h"))
-    rows = rows.where(F.col("k").isin(*LANGUAGES) & F.col("t").isNotNull() & ~F.col("t").rlike("[\u0080-ÿ�]|\\?\\?\\?\\?"))
-    return fit([(r.k, r.t) for r in rows.orderBy("h").limit(training_rows).collect()])
+    """Models of about ``training_rows`` labelled rows (all where there are
+    fewer), chosen by hash: the rows are counted, then those below the share of
+    the hash range that holds so many are fetched, which bounds what is sent."""
+    rows = df.select(label_column(F.col(label)).alias("k"), F.col(text).alias("t"), F.xxhash64(F.col(id_col)).alias("h")).where(F.col("k").isin(*LANGUAGES))
+    total = rows.count()
+    share = min(1.0, training_rows / max(total, 1))
+    below = int(share * (1 << 62)) * 4 - (1 << 63)
+    if share < 1:
+        rows = rows.where(F.col("h") < below)
+    rows = rows.where(F.col("t").isNotNull() & ~F.col("t").rlike("[\u0080-ÿ�]|\\?\\?\\?\\?"))
+    return fit([(r.k, r.t) for r in rows.collect()])
 
 
 def languages(df: DataFrame, id_col: str = "internal_id", text: str = "text", label: str = "lang", training_rows: int = 20_000, vocabulary_limit: int = 20_000) -> DataFrame:
