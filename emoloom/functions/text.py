@@ -10,6 +10,7 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, functions as F
+from pyspark.sql.types import StringType
 
 from .lexicons import COMPOSED
 
@@ -68,7 +69,7 @@ def cleaned(c: Column, empty: str = "") -> Column:
     return F.when(out == "", F.lit(empty)).otherwise(out)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def nfc(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
     """Unicode NFC, which Spark lacks; null stays null."""
     import unicodedata

@@ -291,7 +291,7 @@ def reduced(df: DataFrame, features: str, width: int, out: str = "reduced") -> D
     table = DenseMatrix(v.numRows, v.numCols, v.toArray().ravel(order="F").tolist()).toArray()
     kept = df.sparkSession.sparkContext.broadcast(table)
 
-    @F.udf(VectorUDT())
+    @F.udf(returnType=VectorUDT())
     def project(x):
         return Vectors.dense(kept.value[x.indices].T @ x.values if hasattr(x, "indices") else x.toArray() @ kept.value)
 

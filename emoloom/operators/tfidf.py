@@ -155,7 +155,7 @@ def vectors(values: DataFrame, width: int) -> DataFrame:
     """(doc, features): the long form as sparse vectors of MLlib."""
     from pyspark.ml.linalg import SparseVector, VectorUDT
 
-    @F.udf(VectorUDT())
+    @F.udf(returnType=VectorUDT())
     def pack(cells: list) -> SparseVector:
         return SparseVector(width, [(c.idx, c.value) for c in cells])
 

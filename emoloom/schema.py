@@ -8,8 +8,13 @@ LABELS = ("anger", "disgust", "fear", "joy", "sadness", "surprise")
 LABELS7 = ("anger", "disgust", "fear", "joy", "love", "sadness", "surprise")
 
 
+_TYPES = {"long": T.LongType(), "int": T.IntegerType(), "string": T.StringType(), "boolean": T.BooleanType()}
+
+
 def _schema(text: str) -> T.StructType:
-    return T.StructType.fromDDL(text)
+    """A schema from "name type, …", without a session."""
+    fields = (part.strip().rsplit(" ", 1) for part in text.split(","))
+    return T.StructType([T.StructField(name.strip("`"), _TYPES[kind]) for name, kind in fields])
 
 
 MULTI_LABEL = _schema("ID long, Data string, Love long, Joy long, Surprise long, Anger long, Sadness long, Fear long, Topic string, Domain string, is_admin boolean")
