@@ -39,8 +39,12 @@ def _sql_text(x: str) -> str:
     return "'" + "".join("\\\\" if c == "\\" else "\\'" if c == "'" else f"\\u{ord(c):04x}" if ord(c) < 32 or 0x7F <= ord(c) < 0xB0 or 0x2000 <= ord(c) < 0x2070 or c == "\ufeff" else c for c in x) + "'"
 
 
+# Dots at the very end, and a mark of the cutting behind them, are in question: they tell nothing of what ends a sentence.
+_CUT_MARK = rf"(?i)(?:\.\.+|…)\s*(?:{_MARKS})$"
+_BODY = f"CASE WHEN right(t, 64) RLIKE r'{_CUT_MARK}' THEN regexp_replace(t, r'{_CUT_MARK}', '') WHEN t RLIKE r'(?:\\.\\.|…)$' THEN rtrim('.…', t) ELSE t END"
+
 #: The text as words with a pilcrow for every mark that ends a sentence.
-_PLAIN = f"trim(replace(translate(lower(t), {_sql_text(_BLANKS + _ENDS + _OTHERS)}, {_sql_text(' ' * len(_BLANKS) + '¶' * len(_ENDS))}), '¶', ' ¶ '))"
+_PLAIN = f"trim(replace(translate(lower({_BODY}), {_sql_text(_BLANKS + _ENDS + _OTHERS)}, {_sql_text(' ' * len(_BLANKS) + '¶' * len(_ENDS))}), '¶', ' ¶ '))"
 
 TEXTS = f"""SELECT id, source, t, plain, split(plain, ' +') AS w FROM (SELECT id, source, t, {_PLAIN} AS plain FROM
     (SELECT {{id}} AS id, {{source}} AS source, rtrim({_sql_text(" " + chr(10) + chr(13) + _BLANKS + chr(0x200B) + chr(0x200E) + chr(0x200F) + chr(0x2060) + chr(0xFEFF) + chr(0xAD))}, {{text}}) AS t FROM {{rows}} WHERE {{text}} IS NOT NULL)
