@@ -34,13 +34,17 @@ def ship(spark: SparkSession) -> None:
     _SHIPPED.add(sc.applicationId)
 
 
+_OWN: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: spark.checkpoint.dir, or one of our own
     where the session sets none (tests)."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
+    sc = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
     if not folder:
-        folder = tempfile.mkdtemp(prefix="emoloom-")
-        spark.conf.set("spark.checkpoint.dir", folder)
+        folder = _OWN.setdefault(sc.applicationId, "") or tempfile.mkdtemp(prefix="emoloom-")
+        _OWN[sc.applicationId] = folder
     return folder
 
 
