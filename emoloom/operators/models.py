@@ -22,6 +22,13 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from ..schema import LABELS
 
 
+def packed(df: DataFrame, rows: int = 20_000) -> DataFrame:
+    """``df`` kept in memory in partitions of about ``rows``: a solver runs a job
+    an iteration, whose cost on few rows is that of its tasks."""
+    kept = df.persist()
+    return kept.coalesce(max(1, -(-kept.count() // rows))).persist()
+
+
 def balanced(label: str, positives: int, n: int) -> Column:
     """Weights n / (2 x the class's number); 1 where a class is missing."""
     if not 0 < positives < n:

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, functions as F
 from ..schema import LABELS
 from . import metrics, thresholds
 from .compose import extractor
-from .models import Chain, complement_bayes, logistic
+from .models import Chain, complement_bayes, logistic, packed
 
 
 @dataclass(frozen=True)
@@ -51,12 +51,13 @@ def found_thresholds(df: DataFrame, how: str) -> dict[str, float]:
 def run(config: Config, train: DataFrame, val: DataFrame, test: DataFrame | None = None, doc: str = "sample_id", raw: str = "text", clean: str = "processed_text") -> DataFrame:
     """(run, part, n, macro_f1, …): metrics on validation and, if given, test rows."""
     x = extractor(config.features, **{k: v for k, v in config.settings.items() if k != "forest"}).fit(train, doc, raw, clean)
-    chain = Chain(factory(config), config.order, config.chained).fit(x.transform(train, doc, raw, clean).persist())
+    chain = Chain(factory(config), config.order, config.chained).fit(packed(x.transform(train, doc, raw, clean)))
     parts, taus = [], None
     for part, rows in (("val", val), ("test", test)):
         if rows is None:
             continue
-        scored = chain.predict_proba(x.transform(rows, doc, raw, clean)).withColumnsRenamed({c: f"true_{c}" for c in LABELS}).persist()
+        scored = chain.predict_proba(x.transform(rows, doc, raw, clean)).withColumnsRenamed({c: f"true_{c}" for c in LABELS})
+        scored = packed(scored.select("*"))
         with_pred = scored.withColumns({f"pred_{c}": F.lit(0) for c in LABELS})
         taus = taus or found_thresholds(with_pred, config.sweep)
         parts.append(metrics.overall(thresholds.applied(scored, taus)).select(F.lit(config.name).alias("run"), F.lit(part).alias("part"), "*"))

@@ -234,7 +234,7 @@ def _vectors(spark, d) -> tuple[DataFrame, DataFrame]:
         packed = tfidf.vectors(x.transform(part, "sample_id", "processed_text"), width)
         return part.select(F.col("sample_id").alias("doc"), *LABELS).join(packed, "doc")
 
-    return wide(fit).persist(), wide(rest)
+    return models.packed(wide(fit)), wide(rest)
 
 
 def _probabilities(df: DataFrame) -> DataFrame:
