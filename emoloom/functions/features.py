@@ -102,21 +102,20 @@ def expressive(t: Column, tok: Column) -> dict[str, Column]:
 def greedy_count(tok: Column, entries: list[str]) -> Column:
     """Matches of entries of one to three words from the left, the longest
     first, none overlapping: a fold over the places."""
-    listed = literals(entries)
+    listed, first = literals(entries), literals(list(dict.fromkeys(e.split(" ")[0] for e in entries)))
 
-    def step(state: Column, i: Column) -> Column:
-        def here(length: int) -> Column:
-            return (i + length <= F.size(tok)) & F.array_contains(listed, F.array_join(F.slice(tok, i + 1, F.lit(length)), " "))
+    def width(x: Column, i: Column) -> Column:
+        """The longest entry that starts at a place; only where its first word is one's."""
+        three, two = (F.array_contains(listed, F.array_join(F.slice(tok, i + 1, F.lit(k)), " ")) & (i + k <= F.size(tok)) for k in (3, 2))
+        return F.when(~F.array_contains(first, x), 0).when(three, 3).when(two, 2).when(F.array_contains(listed, x), 1).otherwise(0)
 
-        width = F.when(here(3), 3).when(here(2), 2).when(here(1), 1).otherwise(0)
-        free = state["until"] <= i
-        return F.struct(
-            F.when(free & (width > 0), i + width).otherwise(state["until"]).alias("until"),
-            (state["n"] + F.when(free & (width > 0), 1).otherwise(0)).alias("n"),
-        )
+    def step(state: Column, w: Column) -> Column:
+        hit = (state["busy"] <= 0) & (w > 0)
+        return F.struct(F.when(hit, w - 1).otherwise(state["busy"] - 1).alias("busy"), (state["n"] + hit.cast("int")).alias("n"))
 
-    start = F.struct(F.lit(0).alias("until"), F.lit(0).alias("n"))
-    return F.aggregate(_places(tok), start, step, lambda s: s["n"])
+    start = F.struct(F.lit(0).alias("busy"), F.lit(0).alias("n"))
+    fold = F.aggregate(F.transform(tok, width), start, step, lambda s: s["n"])
+    return F.when(F.arrays_overlap(tok, first), fold).otherwise(0)
 
 
 def negation_basic(

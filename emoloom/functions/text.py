@@ -66,7 +66,7 @@ def cleaned(c: Column, empty: str = "") -> Column:
     """The cleaning chain; null, blank and emptied text give ``empty``."""
     out = without_markup(without_mentions(without_urls(F.coalesce(c, F.lit("")))))
     out = squeeze(shortened_marks(normalised_bangla(out)))
-    return F.when(out == "", F.lit(empty)).otherwise(out)
+    return out if empty == "" else F.when(out == "", F.lit(empty)).otherwise(out)
 
 
 @F.pandas_udf(StringType())

@@ -8,6 +8,7 @@ n-grams are weighed and normalised apart, then put side by side.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
@@ -19,9 +20,8 @@ WORD = {"ngram_range": (1, 2), "max_features": 10_000}
 CHAR = {"ngram_range": (3, 5), "max_features": 15_000}
 
 
-def word_ngrams(c: Column, lo: int = 1, hi: int = 2) -> Column:
-    """Lower-case words between blanks and runs of them, joined by one space."""
-    tok = tokens(F.lower(c))
+def word_ngrams(tok: Column, lo: int = 1, hi: int = 2) -> Column:
+    """The words (a column of its own, see ``terms_of``) and runs of them, joined by one space."""
 
     def runs(n: int) -> Column:
         starts = F.when(F.size(tok) >= n, F.sequence(F.lit(1), F.size(tok) - (n - 1))).otherwise(F.array().cast("array<int>"))
@@ -30,36 +30,58 @@ def word_ngrams(c: Column, lo: int = 1, hi: int = 2) -> Column:
     return F.concat(*(runs(n) for n in range(lo, hi + 1)))
 
 
-def char_ngrams(c: Column, lo: int = 3, hi: int = 5) -> Column:
+def char_ngrams(tok: Column, lo: int = 3, hi: int = 5) -> Column:
     """Letter n-grams within words, each with a space on both sides; a word as
     long as n or shorter gives itself once and no longer n-grams."""
 
     def of(word: Column) -> Column:
-        w = F.concat(F.lit(" "), word, F.lit(" "))
+        w, length = F.concat(F.lit(" "), word, F.lit(" ")), F.length(word) + 2
 
         def windows(n: int) -> Column:
-            all_ = F.transform(F.sequence(F.lit(1), F.length(w) - (n - 1)), lambda i: F.substring(w, i, F.lit(n)))
-            # given already by a smaller n where the word isn't longer than it
-            longer = F.length(w) > (n - 1) if n > lo else F.lit(True)
-            return F.when(longer, F.when(F.length(w) > n, all_).otherwise(F.array(w))).otherwise(F.array().cast("array<string>"))
+            return F.transform(F.sequence(F.lit(1), length - (n - 1)), lambda i: F.substring(w, i, F.lit(n)))
 
-        return F.concat(*(windows(n) for n in range(lo, hi + 1)))
+        def up_to(n: int) -> Column:
+            # a word as long as n stands for itself, which its only window is too
+            parts = [windows(k) for k in range(lo, n + 1)]
+            return F.concat(*parts) if len(parts) > 1 else parts[0]
 
-    return F.flatten(F.transform(tokens(F.lower(c)), of))
+        out = up_to(hi)
+        for n in range(hi - 1, lo - 1, -1):
+            out = F.when(length <= n, up_to(n)).otherwise(out)
+        return F.when(length < lo, F.array(w)).otherwise(out)
 
+    return F.flatten(F.transform(tok, of))
 
-def term_counts(df: DataFrame, doc: str, terms: Column) -> DataFrame:
-    """(doc, term, tf), counted on the map side first."""
-    return df.select(col(doc).alias("doc"), F.explode(terms).alias("term")).groupBy("doc", "term").agg(F.count("*").alias("tf"))
 
+def terms_of(df: DataFrame, doc: str, text: str, grams: Callable[[Column], Column]) -> DataFrame:
+    """(doc, terms): the lower-case words of a text are made once, then their n-grams."""
+    words = df.select(col(doc).alias("doc"), tokens(F.lower(col(text))).alias("_tok"))
+    return words.select("doc", grams(col("_tok")).alias("terms"))
 
-def vocabulary(counts: DataFrame, limit: int | None) -> DataFrame:
-    """(term, idx, tf, df): the most frequent terms of the corpus, of equals the
-    first by spelling, numbered by spelling."""
-    stats = counts.groupBy("term").agg(F.sum("tf").alias("tf"), F.count("*").alias("df"))
-    if limit is not None:
-        stats = stats.orderBy(F.desc("tf"), "term").limit(limit)
-    return stats.withColumn("idx", F.row_number().over(Window.partitionBy().orderBy("term")) - 1)
+
+def term_stats(terms: DataFrame) -> DataFrame:
+    """(term, tf, df).  In a sorted list each term's first place tells the
+    documents from the occurrences: one pass, combined by term before the
+    shuffle, and no (document, term) pair is moved."""
+    ordered = terms.select(F.array_sort("terms").alias("s"))
+    marked = ordered.select(F.explode(F.arrays_zip(col("s").alias("term"), F.concat(F.array(F.lit("")), col("s")).alias("before"))).alias("x")).where("x.term is not null")
+    return marked.groupBy(col("x.term").alias("term")).agg(F.count("*").alias("tf"), F.count_if(col("x.term") != col("x.before")).alias("df"))
+
+
+def term_counts(terms: DataFrame, vocab: DataFrame) -> DataFrame:
+    """(doc, idx, term, tf, df) of the vocabulary's terms: others are dropped
+    before anything is grouped, and only numbers are.  The lists are taken apart
+    by the outer form: the plain one would have the optimiser test their sizes,
+    making them twice."""
+    rows = terms.select("doc", F.explode_outer("terms").alias("term")).where("term is not null").join(vocab.select("term", "idx"), "term")
+    return rows.groupBy("doc", "idx").agg(F.count("*").alias("tf")).join(vocab.select("idx", "term", "df"), "idx")
+
+
+def vocabulary(terms: DataFrame, limit: int) -> DataFrame:
+    """(term, idx, tf, df): the ``limit`` most frequent terms of the corpus, of
+    equals the first by spelling, numbered by spelling.  It is small: kept in memory."""
+    stats = term_stats(terms).orderBy(F.desc("tf"), "term").limit(limit)
+    return stats.withColumn("idx", F.row_number().over(Window.partitionBy().orderBy("term")) - 1).persist()
 
 
 def idf(n: Column | int, df: Column) -> Column:
@@ -68,10 +90,9 @@ def idf(n: Column | int, df: Column) -> Column:
     return F.log((1 + n) / (1 + df)) + 1
 
 
-def weighted(counts: DataFrame, vocab: DataFrame, n_docs: int) -> DataFrame:
+def weighted(terms: DataFrame, vocab: DataFrame, n_docs: int) -> DataFrame:
     """(doc, idx, term, value): (1 + ln tf) x idf, each document of length 1."""
-    raw = counts.select("doc", "term", "tf").join(vocab.select("term", "idx", "df"), "term")
-    raw = raw.withColumn("value", (1 + F.log("tf")) * idf(n_docs, col("df")))
+    raw = term_counts(terms, vocab).withColumn("value", (1 + F.log("tf")) * idf(n_docs, col("df")))
     norm = F.sqrt(F.sum(col("value") * col("value")).over(Window.partitionBy("doc")))
     return raw.select("doc", "idx", "term", (col("value") / norm).alias("value"))
 
@@ -94,11 +115,11 @@ class TfIdf:
         self.word, self.char = {**WORD, **self.word}, {**CHAR, **self.char}
 
     def _terms(self, df: DataFrame, doc: str, text: str) -> tuple[DataFrame, DataFrame]:
-        return term_counts(df, doc, word_ngrams(col(text), *self.word["ngram_range"])), term_counts(df, doc, char_ngrams(col(text), *self.char["ngram_range"]))
+        return terms_of(df, doc, text, lambda t: word_ngrams(t, *self.word["ngram_range"])), terms_of(df, doc, text, lambda t: char_ngrams(t, *self.char["ngram_range"]))
 
     def fit(self, df: DataFrame, doc: str, text: str) -> TfIdf:
         words, letters = self._terms(df, doc, text)
-        a, b = vocabulary(words, self.word["max_features"]).persist(), vocabulary(letters, self.char["max_features"]).persist()
+        a, b = vocabulary(words, self.word["max_features"]), vocabulary(letters, self.char["max_features"])
         self.fitted = (a, b, df.count())
         return self
 

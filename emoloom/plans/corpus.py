@@ -8,7 +8,7 @@ from ..functions import text as T
 from ..functions.text import ENTITY, MENTION, TAG, URL, WS
 from ..operators import audit, dedup, harmonise, sets, splitting
 from ..schema import LABELS
-from ..session import read
+from ..session import read, spread
 from . import sql as S
 from .registry import query
 
@@ -43,7 +43,7 @@ def _comments(spark: SparkSession, d: str) -> DataFrame:
 
 def _annotated(spark: SparkSession, d: str) -> DataFrame:
     cols = ["internal_id", "source_dataset", "source_split", "source_row_id", "text", "domain", "topic", *LABELS]
-    return dedup.annotated(_comments(spark, d).select(*cols), T.comparison_key(F.col("text")))
+    return dedup.annotated(spread(_comments(spark, d).select(*cols)), T.comparison_key(F.col("text")))
 
 
 @query(f"WITH {_ANNOTATED} SELECT internal_id, group_id, group_size, group_type, is_canonical, action FROM annotated")
@@ -405,32 +405,32 @@ _CLEAN = S.squeeze(_sql_marks(_sql_bangla(_HTML)))
 
 @query(f"SELECT internal_id, {_URLS} AS t FROM {H}")
 def clean_url(spark, d):
-    return _comments(spark, d).select("internal_id", T.without_urls(_dirty()).alias("t"))
+    return spread(_comments(spark, d).select("internal_id", "text")).select("internal_id", T.without_urls(_dirty()).alias("t"))
 
 
 @query(f"SELECT internal_id, regexp_replace({_RAW}, '{MENTION}', ' ', 'g') AS t FROM {H}")
 def clean_mention(spark, d):
-    return _comments(spark, d).select("internal_id", T.without_mentions(_dirty()).alias("t"))
+    return spread(_comments(spark, d).select("internal_id", "text")).select("internal_id", T.without_mentions(_dirty()).alias("t"))
 
 
 @query(f"SELECT internal_id, regexp_replace(regexp_replace({_RAW}, '{TAG}', ' ', 'g'), '{ENTITY}', ' ', 'g') AS t FROM {H}")
 def clean_html(spark, d):
-    return _comments(spark, d).select("internal_id", T.without_markup(_dirty()).alias("t"))
+    return spread(_comments(spark, d).select("internal_id", "text")).select("internal_id", T.without_markup(_dirty()).alias("t"))
 
 
 @query(f"SELECT internal_id, {_sql_marks(_RAW)} AS t FROM {H}")
 def clean_punct(spark, d):
-    return _comments(spark, d).select("internal_id", T.shortened_marks(_dirty()).alias("t"))
+    return spread(_comments(spark, d).select("internal_id", "text")).select("internal_id", T.shortened_marks(_dirty()).alias("t"))
 
 
 @query(f"SELECT internal_id, {_sql_bangla(S.text('text'))} AS t FROM {H}")
 def clean_bangla(spark, d):
-    return _comments(spark, d).select("internal_id", T.normalised_bangla(F.coalesce(F.col("text"), F.lit(""))).alias("t"))
+    return spread(_comments(spark, d).select("internal_id", "text")).select("internal_id", T.normalised_bangla(F.coalesce(F.col("text"), F.lit(""))).alias("t"))
 
 
 @query(f"SELECT internal_id, {_CLEAN} AS t FROM {H}")
 def clean_all(spark, d):
-    return _comments(spark, d).select("internal_id", T.cleaned(_dirty()).alias("t"))
+    return spread(_comments(spark, d).select("internal_id", "text")).select("internal_id", T.cleaned(_dirty()).alias("t"))
 
 
 _NEG = S.L.lexicon(S.L.NEGATIONS)

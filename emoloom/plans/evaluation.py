@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 from ..functions import features as X, text as T
 from ..operators import audit, metrics, models, runner, tfidf, thresholds
 from ..schema import LABELS
-from ..session import read
+from ..session import read, spread
 from . import sql as S
 from .registry import query
 
@@ -224,7 +224,7 @@ _SMALL = {"word": {"max_features": 300}, "char": {"max_features": 200}}
 
 def _vectors(spark, d) -> tuple[DataFrame, DataFrame]:
     """Training rows with term vectors: fitted rows and those held out, by hash."""
-    rows = read(spark, d, "train").select("sample_id", "processed_text", *LABELS)
+    rows = spread(read(spark, d, "train").select("sample_id", "processed_text", *LABELS)).persist()
     held = F.pmod(F.xxhash64("sample_id"), F.lit(5)) == 0
     fit, rest = rows.where(~held), rows.where(held)
     x = tfidf.TfIdf(**_SMALL).fit(fit, "sample_id", "processed_text")
@@ -307,7 +307,7 @@ def knn_votes(spark, d):
 @query()
 def experiment_runs(spark, d):
     """Two configurations from features to metrics: thresholds on validation rows, test rows measured once."""
-    rows = read(spark, d, "train").select("sample_id", "text", "processed_text", *LABELS)
+    rows = spread(read(spark, d, "train").select("sample_id", "text", "processed_text", *LABELS)).persist()
     part = F.pmod(F.xxhash64("sample_id"), F.lit(10))
     train, val, test = rows.where(part < 7), rows.where((part >= 7) & (part < 9)), rows.where(part == 9)
     configs = [runner.Config("E0_cnb", "E0", "complement_bayes", settings=_SMALL), runner.Config("E2_lr", "E2", "logistic", chained=False, settings=_SMALL, c=0.5, max_iter=15)]

@@ -8,7 +8,7 @@ from ..functions import features as X, text as T
 from ..functions import lexicons as L
 from ..operators import audit, compose, tfidf
 from ..schema import LABELS
-from ..session import read
+from ..session import read, spread
 from . import sql as S
 from .registry import query
 
@@ -17,7 +17,7 @@ EMO = X.EMOTIONS
 
 def _train(spark, d) -> DataFrame:
     """Training rows with their words."""
-    rows = read(spark, d, "train").select("sample_id", "text", "processed_text", *LABELS)
+    rows = spread(read(spark, d, "train").select("sample_id", "text", "processed_text", *LABELS))
     return rows.withColumns({"tok": T.tokens(F.col("processed_text")), "raw_tok": T.tokens(F.col("text"))})
 
 
@@ -266,7 +266,7 @@ def _weights(limit: int) -> str:
 
 
 def _counts(spark, d, grams) -> DataFrame:
-    return tfidf.term_counts(read(spark, d, "train"), "sample_id", grams(F.col("processed_text")))
+    return tfidf.terms_of(spread(read(spark, d, "train").select("sample_id", "processed_text")), "sample_id", "processed_text", grams)
 
 
 @query(f"WITH {_WG}, {_weights(10_000)} SELECT doc, idx, round(value, 6) AS value FROM weighted")
@@ -319,7 +319,7 @@ def tfidf_slice(spark, d):
 @query()
 def tfidf_fused(spark, d):
     """Word and letter terms side by side, as one estimator gives them."""
-    rows = read(spark, d, "train").select("sample_id", "processed_text")
+    rows = spread(read(spark, d, "train").select("sample_id", "processed_text"))
     return tfidf.TfIdf().fit_transform(rows, "sample_id", "processed_text").select("doc", "idx", F.round("value", 6).alias("value"))
 
 
@@ -328,7 +328,7 @@ def features_e8(spark, d):
     """Term, emoji, sentiment and negation features of all training rows in one vector."""
     from pyspark.ml.functions import vector_to_array
 
-    rows = read(spark, d, "train").select("sample_id", "text", "processed_text")
+    rows = spread(read(spark, d, "train").select("sample_id", "text", "processed_text"))
     x = compose.extractor("E8", word={"max_features": 2000}, char={"max_features": 3000}).fit(rows, "sample_id", "text", "processed_text")
     v = vector_to_array("features")
     out = x.transform(rows, "sample_id", "text", "processed_text")
@@ -339,7 +339,7 @@ def features_e8(spark, d):
 def features_champion(spark, d):
     from pyspark.ml.functions import vector_to_array
 
-    rows = read(spark, d, "train").select("sample_id", "text", "processed_text")
+    rows = spread(read(spark, d, "train").select("sample_id", "text", "processed_text"))
     x = compose.extractor("champion", word={"max_features": 2000}, char={"max_features": 3000}).fit(rows, "sample_id", "text", "processed_text")
     v = vector_to_array("features")
     return x.transform(rows, "sample_id", "text", "processed_text").select("sample_id", F.size(v).alias("width"), F.round(F.aggregate(v, F.lit(0.0), lambda a, y: a + y), 4).alias("total"))

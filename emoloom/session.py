@@ -21,3 +21,11 @@ def session(app: str = "emoloom", master: str | None = None, **more: str) -> Spa
 
 def read(spark: SparkSession, folder: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{table}.parquet")
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """A table of fewer splits than cores in as many partitions as cores: work
+    on its rows shouldn't wait for the layout of a small file.  Larger tables
+    stay as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
