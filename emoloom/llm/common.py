@@ -12,6 +12,8 @@ from pathlib import Path
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from ..session import spread
+
 _SHIPPED: set[str] = set()
 _TABLES: list[tuple[SparkSession, str]] = []
 
@@ -20,6 +22,12 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def rows_of(df: DataFrame, **columns) -> DataFrame:
+    """Some columns of a table, a small one's rows spread over all cores before
+    Python reads them."""
+    return spread(df.select(*(c.alias(k) for k, c in columns.items())))
+
+
 def ship(spark: SparkSession) -> None:
     """Makes this package importable in the Python workers of every executor."""
     sc = spark.sparkContext

@@ -120,7 +120,7 @@ def entries(df: DataFrame, id_col: str = "internal_id", text: str = "text", voca
                     own.setdefault(to.key(t).encode("utf-8", "surrogatepass"), []).append(i)
             yield pa.RecordBatch.from_arrays([pa.array(list(own), pa.binary()), pa.array(list(own.values()), pa.list_(pa.int64()))], schema=_ENTRY)
 
-    rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(text).alias("text")).where("text is not null")
+    rows = common.rows_of(df, id=F.col(id_col).cast("long"), text=F.col(text)).where("text is not null")
     return rows.mapInArrow(run, "key binary, ids array<long>")
 
 

@@ -298,7 +298,7 @@ def languages(df: DataFrame, id_col: str = "internal_id", text: str = "text", la
             out = [batch.column(batch.schema.get_field_index("id")), labels, [named[x] for x in labels], lengths, [m for _, m in texts], shown, parts]
             yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, f.type) for c, f in zip(out, schema)], schema=schema)
 
-    rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(text).alias("text"), F.col(label).cast("string").alias("label"))
+    rows = common.rows_of(df, id=F.col(id_col).cast("long"), text=F.col(text), label=F.col(label).cast("string"))
     ddl = "id long, label string, named string, words int, marks boolean, languages array<struct<lang: string, confidence: double>>, segments array<struct<lang: string, words: int, confidence: double>>"
     return rows.mapInArrow(run, ddl).withColumnRenamed("id", id_col)
 

@@ -211,7 +211,7 @@ def keys(df: DataFrame, id_col: str = "internal_id", text: str = "text", vocabul
                     looks.append(digest(to.text(t).encode("utf-8", "surrogatepass")))
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(looks, pa.binary()), pa.array(codes, pa.binary())], schema=schema)
 
-    rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(text).alias("text")).where("text is not null")
+    rows = common.rows_of(df, id=F.col(id_col).cast("long"), text=F.col(text)).where("text is not null")
     return rows.mapInArrow(run, "id long, look binary, code binary")
 
 

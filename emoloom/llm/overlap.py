@@ -136,7 +136,7 @@ def sequences(df: DataFrame, id_col: str, text: str, counts: dict[str, int]) ->
                     c.append(x)
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(out, schema)], schema=schema)
 
-    rows = df.select(F.col(id_col).alias("id"), F.col(text).alias("text")).where("text is not null and id is not null")
+    rows = common.rows_of(df, id=F.col(id_col), text=F.col(text)).where("text is not null and id is not null")
     return rows.mapInArrow(run, f"id {kind}, look binary, words binary, sequence array<long>, weights array<short>")
 
 

@@ -148,7 +148,7 @@ def encoded(df: DataFrame, id_col: str = "doc_id", text: str = "text", name: str
                 ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(own), np.int32)))
                 yield pa.RecordBatch.from_arrays([part.column(0), ids], names=["id", "ids"])
 
-    return df.select(F.col(id_col).alias("id"), F.col(text).alias("text")).mapInArrow(run, f"id {kind}, ids array<int>").withColumnRenamed("id", id_col)
+    return common.rows_of(df, id=F.col(id_col), text=F.col(text)).mapInArrow(run, f"id {kind}, ids array<int>").withColumnRenamed("id", id_col)
 
 
 def token_count(spark: SparkSession, text: Column, name: str = "byte_bpe_50k.tiktoken", folder: str | None = None) -> Column:
