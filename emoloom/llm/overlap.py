@@ -85,7 +85,9 @@ def grams(sequence: np.ndarray, weights: np.ndarray, counts: np.ndarray) -> tupl
     (seldom in training, of seldom words, by hash), all equal ones included.
     The order decides how many candidates there are, never the result."""
     own = hashes(sequence)
-    n = len(own)  # none in lists this short: they are equal as a whole or not at all
+    if len(sequence) < TENTHS:  # no other list is near: such are equal as a whole, which is joined by their hash
+        own = own[:0]
+    n = len(own)
     k = prefix(len(sequence))
     if k < n:
         often = counts[own >> np.uint64(64 - SLOTS)]
@@ -226,7 +228,7 @@ def overlaps(evaluation: DataFrame, training: DataFrame, eval_id: str = "interna
     often = _slot_counts(t)
     index = common.cut(_indexed(e, often).distinct(), "index")
     hits = _indexed(t, often, _bit_table(index)).distinct()
-    met = index.alias("e").join(hits.alias("t"), F.expr(f"""e.gram = t.gram and abs(e.place - t.place) * 10 <= greatest(e.n, t.n)
+    met = index.alias("e").join(hits.alias("t"), F.expr(f"""e.gram = t.gram and e.words <> t.words and abs(e.place - t.place) * 10 <= greatest(e.n, t.n)
         and least(e.n, t.n) * 10 >= greatest(e.n, t.n) * {TENTHS}"""))
     met = common.cut(met.select(F.col("e.words").alias("e_words"), F.col("t.words").alias("t_words")).distinct(), "met")
 
@@ -237,8 +239,10 @@ def overlaps(evaluation: DataFrame, training: DataFrame, eval_id: str = "interna
     near = _near(met.join(own(e, "e"), "e_words").join(own(t, "t"), "t_words"))
     some = near.join(e.select(F.col("words").alias("e_words"), F.col("id").alias("e_id")), "e_words")
     some = some.join(t.select(F.col("words").alias("t_words"), F.col("id").alias("t_id")), "t_words").select("e_id", "t_id", "containment")
-    same = e.select("look", F.col("id").alias("e_id")).join(t.select("look", F.col("id").alias("t_id")), "look")
-    both = some.unionByName(same.select("e_id", "t_id", F.lit(1.0).alias("containment")))
+    both = some
+    for key in ("look", "words"):  # equal texts, and equal lists whose fields were parted otherwise
+        same = e.select(key, F.col("id").alias("e_id")).join(t.select(key, F.col("id").alias("t_id")), key)
+        both = both.unionByName(same.select("e_id", "t_id", F.lit(1.0).alias("containment")))
     both = both.groupBy("e_id", "t_id").agg(F.max("containment").alias("containment"))
     return both.withColumnRenamed("e_id", eval_id).withColumnRenamed("t_id", train_id)
 
