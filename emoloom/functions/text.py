@@ -7,6 +7,7 @@ reads the pattern agrees.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cache
 
 import pandas as pd
 from pyspark.sql import Column, functions as F
@@ -69,13 +70,22 @@ def cleaned(c: Column, empty: str = "") -> Column:
     return out if empty == "" else F.when(out == "", F.lit(empty)).otherwise(out)
 
 
-@F.pandas_udf(StringType())
-def nfc(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    """Unicode NFC, which Spark lacks; null stays null."""
-    import unicodedata
+@cache
+def _nfc():
+    # inside a function, so that workers get it by value and needn't import this package
+    @F.pandas_udf(StringType())
+    def nfc(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        import unicodedata
+
+        for texts in batches:
+            yield texts.map(lambda t: unicodedata.normalize("NFC", t), na_action="ignore")
+
+    return nfc
 
-    for texts in batches:
-        yield texts.map(lambda t: unicodedata.normalize("NFC", t), na_action="ignore")
+
+def nfc(c: Column) -> Column:
+    """Unicode NFC, which Spark lacks; null stays null."""
+    return _nfc()(c)
 
 
 def comparison_key(c: Column) -> Column:
