@@ -152,7 +152,6 @@ def columns_of(df: DataFrame, places: list[int] | range, out: str = "part") -> D
 
 
 def max_abs(df: DataFrame, columns: list[str]) -> DataFrame:
-    """Each column over its greatest absolute value (1 where that is 0), as an expression on one aggregate."""
-    tops = df.agg(*(F.max(F.abs(F.col(c))).alias(f"_m_{c}") for c in columns))
-    rows = df.crossJoin(F.broadcast(tops))  # one row
-    return rows.withColumns({c: F.col(c) / F.when(F.coalesce(F.col(f"_m_{c}"), F.lit(0)) == 0, 1.0).otherwise(F.col(f"_m_{c}")) for c in columns}).drop(*(f"_m_{c}" for c in columns))
+    """Each column over its greatest absolute value (1 where that is 0 or missing), one row from an aggregate."""
+    tops = df.agg(*(F.max(F.abs(F.col(c))).alias(c) for c in columns)).first()
+    return df.withColumns({c: F.col(c) / float(tops[c] or 1.0) for c in columns})

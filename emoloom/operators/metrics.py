@@ -40,6 +40,9 @@ def per_label(df: DataFrame, by: list[str] = (), labels: tuple[str, ...] = LABEL
 def overall(df: DataFrame, by: list[str] = (), labels: tuple[str, ...] = LABELS, digits: int = 4) -> DataFrame:
     """(by…, n, macro and micro F1, macro precision and recall, Hamming loss,
     Jaccard by sample, subset accuracy)."""
+    by = list(by)
+    if not by:  # one group, so that the two halves meet by a key
+        return overall(df.withColumn("_all", F.lit(0)), ["_all"], labels, digits).drop("_all")
     counts = _counts(long_form(df, by, labels, prob=False), [*by, "label"]).select(*by, "label", "tp", "fp", "fn", *(c.alias(k) for k, c in _scores().items()))
     pooled = ratio(2 * F.sum("tp"), 2 * F.sum("tp") + F.sum("fp") + F.sum("fn"))
     a = counts.groupBy(*by).agg(F.avg("f1").alias("macro_f1"), pooled.alias("micro_f1"), F.avg("precision").alias("macro_precision"), F.avg("recall").alias("macro_recall"))
@@ -48,7 +51,7 @@ def overall(df: DataFrame, by: list[str] = (), labels: tuple[str, ...] = LABELS,
     either = sum(((t(c) | p(c)).cast("int") for c in labels), F.lit(0))
     wrong = sum(((t(c) != p(c)).cast("int") for c in labels), F.lit(0))
     b = df.groupBy(*by).agg(F.count("*").alias("n"), (F.sum(wrong) / (F.count("*") * len(labels))).alias("hamming_loss"), F.avg(ratio(both, either)).alias("jaccard"), F.avg((wrong == 0).cast("double")).alias("subset_accuracy"))
-    joined = a.join(b, list(by)) if by else a.crossJoin(b)  # one row each
+    joined = a.join(b, by)
     names = ("macro_f1", "micro_f1", "macro_precision", "macro_recall", "jaccard", "subset_accuracy")
     return joined.select(*by, "n", *(F.round(c, digits).alias(c) for c in names), F.round("hamming_loss", 6).alias("hamming_loss"))
 

@@ -20,7 +20,7 @@ def hash_key(key: str | Column, seed: int = 42) -> Column:
 def stratified_split(df: DataFrame, key: str, labels: tuple[str, ...] = LABELS, parts=PARTS, seed: int = 42) -> DataFrame:
     """Adds ``split``: within each combination of labels (null as 0) the shares hold to a row.
 
-    The reference's iterative stratifier is unseeded; this keeps its aim, the
+    An iterative stratifier would depend on a random state; this keeps its aim, the
     same label shares in all parts, and is the same every time.  Combinations
     are many and each is ranked apart; the hot one is salted: ranks are counted
     within 4,096 hash ranges and put together."""

@@ -39,8 +39,8 @@ def curve(df: DataFrame, step: float = 0.01, labels: tuple[str, ...] = LABELS, d
     k = F.when((k + 1 < len(taus)) & (F.col("prob") >= at(k + 1)), k + 1).when((k >= 0) & (F.col("prob") < at(k)), k - 1).otherwise(k)
     rows = long_form(df, [], labels).where("prob is not null").select("label", "y", k.alias("bucket"))
     counts = rows.groupBy("label", "bucket").agg(F.count_if(F.col("y") == 1).alias("pos"), F.count_if(F.col("y") == 0).alias("neg"))
-    all_taus = spark.createDataFrame(list(enumerate(taus)), "bucket int, tau double")
-    cells = all_taus.join(spark.createDataFrame([(c,) for c in labels], "label string")).join(counts, ["label", "bucket"], "left")
+    grid_ = spark.createDataFrame([(c, n, t) for c in labels for n, t in enumerate(taus)], "label string, bucket int, tau double")
+    cells = grid_.join(counts, ["label", "bucket"], "left")
     below = counts.groupBy("label").agg(F.sum("pos").alias("positives"))
     above = Window.partitionBy("label").orderBy(F.desc("bucket")).rowsBetween(Window.unboundedPreceding, 0)
     out = cells.withColumns({"tp": F.coalesce(F.sum("pos").over(above), F.lit(0)), "fp": F.coalesce(F.sum("neg").over(above), F.lit(0))}).join(F.broadcast(below), "label", "left")
