@@ -194,7 +194,7 @@ class CalibratedSvc:
 @dataclass
 class ModifiedHuber:
     """A linear model under the modified Huber loss, balanced, by full gradient
-    steps: each step is one aggregate over all rows (the reference's stochastic
+    steps: each step is one aggregate over all rows (stochastic
     steps have no counterpart that gives the same numbers)."""
 
     width: int
