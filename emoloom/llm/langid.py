@@ -26,8 +26,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from . import common
-from .lookalike import PLAIN, by_table, frequent
-from .mojibake import Channel
+from .lookalike import PLAIN, by_table
+from .mojibake import Channel, tables
 
 LANGUAGES = ("bn", "as", "hi", "ne", "en", "bn-Latn")
 SCRIPT = {"bn": 0, "as": 0, "hi": 1, "ne": 1, "en": 2, "bn-Latn": 2}
@@ -256,21 +256,21 @@ def fitted(df: DataFrame, id_col: str, text: str, label: str, training_rows: int
     return fit([(r.k, r.t) for r in rows.collect()])
 
 
-def languages(df: DataFrame, id_col: str = "internal_id", text: str = "text", label: str = "lang", training_rows: int = 20_000, vocabulary_limit: int = 20_000) -> DataFrame:
+def languages(df: DataFrame, id_col: str = "internal_id", text: str = "text", label: str = "lang", training_rows: int = 20_000) -> DataFrame:
     """(id_col, label, named, languages, segments, readable): for each row its
     label, what the label names, an array of (lang, confidence), most first, and
     of (lang, words) in order; ``readable`` is whether a word could be read."""
     common.ship(df.sparkSession)
     sc = df.sparkSession.sparkContext
     models = sc.broadcast(fitted(df, id_col, text, label, training_rows))
-    counts = sc.broadcast(dict(frequent(df, text, vocabulary_limit)))
+    read_under = sc.broadcast(tables(df, text))
     key = common.fresh_key()
     langs = pa.list_(pa.struct([("lang", pa.string()), ("confidence", pa.float64())]))
     segs = pa.list_(pa.struct([("lang", pa.string()), ("words", pa.int32()), ("confidence", pa.float64())]))
     schema = pa.schema([("id", pa.int64()), ("label", pa.string()), ("named", pa.string()), ("words", pa.int32()), ("marks", pa.bool_()), ("languages", langs), ("segments", segs)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, channel = common.kept(key, lambda: (models.value, Channel(counts.value)))
+        model, channel = common.kept(key, lambda: (models.value, Channel(*read_under.value)))
         named: dict[str | None, str | None] = {}
         for batch in batches:
             texts = [(None, False) if t is None else channel.restore(t) for t in common.column(batch, "text")]

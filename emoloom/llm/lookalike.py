@@ -162,14 +162,17 @@ def is_case(text: str | None, least_words: int = 4) -> bool:
     return text is not None and len(text.split(None, least_words)) >= least_words and any(c.isalnum() for c in text)
 
 
-def frequent(df: DataFrame, text: str = "text", limit: int = 20_000) -> list[tuple[str, int]]:
-    """The ``limit`` most frequent plain words of two letters or more that occur
-    twice or more; counted over all rows, only the bounded list comes back."""
+def counted(df: DataFrame, text: str = "text") -> DataFrame:
+    """(w, count): all plain words of two letters or more that occur twice or more, over all rows."""
     words = F.split(F.col(text), r"[\s!-/:-@\[-`{-~।॥]+")
     plain = rf"^[{PLAIN}]+$".replace(r"\U0001f300-\U0001f64f\U0001f680-\U0001f6ff\U0001f900-\U0001f9ff", "")
-    counted = df.select(F.explode(words).alias("w")).groupBy("w").count().where("count > 1 and length(w) > 1")
-    counted = counted.where(F.col("w").rlike(plain) & ~F.col("w").rlike("অা|ে[াৗ]|়্|ব়|[नरळ]़|अ[ाोौ]|एे"))
-    return [(r[0], r[1]) for r in counted.orderBy(F.desc("count"), "w").limit(limit).collect()]
+    found = df.select(F.explode(words).alias("w")).groupBy("w").count().where("count > 1 and length(w) > 1")
+    return found.where(F.col("w").rlike(plain) & ~F.col("w").rlike("অা|ে[াৗ]|়্|ব়|[नरळ]़|अ[ाोौ]|एे"))
+
+
+def frequent(df: DataFrame, text: str = "text", limit: int = 20_000) -> list[tuple[str, int]]:
+    """The ``limit`` most frequent of the ``counted`` words; only the bounded list comes back."""
+    return [(r[0], r[1]) for r in counted(df, text).orderBy(F.desc("count"), "w").limit(limit).collect()]
 
 
 def vocabulary(df: DataFrame, text: str = "text", limit: int = 20_000) -> list[str]:
