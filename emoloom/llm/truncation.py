@@ -8,8 +8,11 @@ too rare to tell: a text whose last words are frequent inside sentences but
 almost never end one was cut.  A last word that hardly occurs elsewhere is a
 piece of a longer one, hence cut.  A broken character at the end, a comma, and
 a mark of the cutting ("read more") are cases by themselves; a text that ends
-in a final mark, an emoji, a hashtag or a link isn't one, nor is one of three
-words or fewer without such a sign.
+in a final mark, an emoji, a hashtag or a link isn't one.  A text of three
+words or fewer is often a stock phrase that ends without a mark: where it recurs
+whole, its copies count as ends of its trigram; its own end counts as one of
+its pair or word, and its rare last word is only taken for a piece where a
+longer word of the corpus begins with it.
 
 Null, empty and blank texts are no cases.
 """
@@ -51,14 +54,15 @@ TEXTS = f"""SELECT id, source, t, plain, split(plain, ' +') AS w FROM (SELECT id
     WHERE t <> '')"""
 
 FINALS = rf"""SELECT id, source, stopped, signed, decorated, short,
-        xxhash64(3, element_at(f, -3), element_at(f, -2), element_at(f, -1)) AS three, xxhash64(2, element_at(f, -2), element_at(f, -1)) AS two, xxhash64(1, element_at(f, -1)) AS one
+        xxhash64(3, element_at(f, -3), element_at(f, -2), element_at(f, -1)) AS three, xxhash64(2, element_at(f, -2), element_at(f, -1)) AS two, xxhash64(1, element_at(f, -1)) AS one,
+        CASE WHEN short THEN element_at(f, -1) END AS last
     FROM (SELECT id, source, size(w) <= 3 AS short,
             endswith(t, '�') OR endswith(t, ',') OR right(t, 64) RLIKE r'(?i)(?:\.\.+|…)\s*(?:{_MARKS})$' AS signed,
             right(t, 8) RLIKE r'(?:^|[^.…])[।॥!?.][\"”’)\]''»]*$' AS stopped,
             right(t, 64) RLIKE r'{_EMOJI}[.…]*$' OR substring_index(t, ' ', -1) RLIKE r'(?:^|\s)(?:#\S+|https?://\S+)[.…]*$' AS decorated,
             concat(array('^', '^'), split(rtrim(' ¶', plain), ' +')) AS f FROM {{texts}})"""
 
-OPEN = "NOT (signed OR stopped OR decorated OR short)"
+OPEN = "NOT (signed OR stopped OR decorated)"
 
 KEYS = "SELECT DISTINCT explode(array(three, two, one)) AS key FROM {finals} WHERE {open}"
 
@@ -71,19 +75,33 @@ GRAMS = """SELECT {hint} key, count_if(ends) AS ends, count_if(NOT ends) AS insi
         WHERE g.w <> '¶' AND g.d <> '$')
     LEFT SEMI JOIN {keys} k USING (key) GROUP BY key"""
 
+# How often a short text stands whole, where it recurs; three is the whole of it.
+WHOLES = "SELECT three AS key, count(*) AS copies FROM {finals} WHERE short AND {open} GROUP BY three HAVING count(*) > 1"
+
+# The last words of short texts that neither their copies nor other places tell of, and those of them that begin a longer word.
+LASTS = """SELECT DISTINCT last, length(last) AS size FROM {finals} f LEFT JOIN {grams} g ON f.one = g.key LEFT JOIN {wholes} c ON f.three = c.key
+    WHERE short AND {open} AND coalesce(g.ends + g.inside, 0) < {least} AND coalesce(c.copies, 0) < {least}"""
+
+PIECES = """SELECT {hint} DISTINCT l.last FROM (SELECT explode(w) AS w FROM {texts}) t
+    JOIN {lasts} l ON left(t.w, {head}) = left(l.last, {head}) AND length(t.w) > l.size AND startswith(t.w, l.last)"""
+
 CUTS = """SELECT id, source, signed OR ({open} AND
-        CASE WHEN e3 + i3 >= {least} THEN e3 <= {rare} * (e3 + i3) WHEN e2 + i2 >= {least} THEN e2 <= {rare} * (e2 + i2)
-             WHEN e1 + i1 >= {least} THEN e1 <= {rare} * (e1 + i1) ELSE true END) AS cut
+        CASE WHEN short AND coalesce(e3 + i3, 0) + coalesce(copies, 0) >= {least} THEN coalesce(e3, 0) + coalesce(copies, 0) <= {rare} * (coalesce(e3 + i3, 0) + coalesce(copies, 0))
+             WHEN copies > 1 THEN p.last IS NOT NULL
+             WHEN e3 + i3 >= {least} THEN e3 <= {rare} * (e3 + i3) WHEN e2 + i2 >= {least} THEN e2 + int(short) <= {rare} * (e2 + i2 + int(short))
+             WHEN e1 + i1 >= {least} THEN e1 + int(short) <= {rare} * (e1 + i1 + int(short)) ELSE NOT short OR p.last IS NOT NULL END) AS cut
     FROM {finals} f
     LEFT JOIN (SELECT key, ends AS e3, inside AS i3 FROM {grams}) g3 ON f.three = g3.key AND {open}
     LEFT JOIN (SELECT key, ends AS e2, inside AS i2 FROM {grams}) g2 ON f.two = g2.key AND {open}
-    LEFT JOIN (SELECT key, ends AS e1, inside AS i1 FROM {grams}) g1 ON f.one = g1.key AND {open}"""
+    LEFT JOIN (SELECT key, ends AS e1, inside AS i1 FROM {grams}) g1 ON f.one = g1.key AND {open}
+    LEFT JOIN {wholes} c ON f.three = c.key AND short AND {open}
+    LEFT JOIN {pieces} p ON f.last = p.last AND {open}"""
 
 
 def truncated(docs: DataFrame, id_col: str = "doc_id", text: str = "text", source: str = "source", rare: float = RARE, least: int = LEAST) -> DataFrame:
     """(id, source, cut) of every text that isn't null or blank."""
     spark, own = docs.sparkSession, uuid.uuid4().hex[:8]
-    name = {k: f"{k}_{own}" for k in ("rows", "texts", "finals", "keys", "grams")}
+    name = {k: f"{k}_{own}" for k in ("rows", "texts", "finals", "keys", "grams", "wholes", "lasts", "pieces")}
     docs.createOrReplaceTempView(name["rows"])
 
     def filled(sql: str, **more: str) -> str:
@@ -97,6 +115,12 @@ def truncated(docs: DataFrame, id_col: str = "doc_id", text: str = "text", sourc
     keys.createOrReplaceTempView(name["keys"])
     hint = "/*+ BROADCAST(k) */" if keys.count() <= MOST_KEYS else ""
     common.cut(spark.sql(filled(GRAMS, hint=hint)), "grams").createOrReplaceTempView(name["grams"])
+    spark.sql(filled(WHOLES)).createOrReplaceTempView(name["wholes"])
+    lasts = common.cut(spark.sql(filled(LASTS)), "lasts")
+    lasts.createOrReplaceTempView(name["lasts"])
+    n, head = lasts.agg(F.count("*"), F.min("size")).first()
+    pieces = filled(PIECES, hint="/*+ BROADCAST(l) */" if n <= MOST_KEYS else "", head=head) if n else f"SELECT last FROM {name['lasts']}"
+    common.cut(spark.sql(pieces), "pieces").createOrReplaceTempView(name["pieces"])
     return spark.sql(filled(CUTS))
 
 

@@ -19,3 +19,12 @@ def test_cut_texts(spark):
     rates = {r.source: r for r in T.rates(T.truncated(df)).collect()}
     assert rates["a"].cut == 0 and rates["b"].cut == len(cases)
     assert T.truncated(df.limit(0)).collect() == []
+
+
+def test_short_texts(spark):
+    """Texts of three words or fewer are cut where counts tell it; stock phrases aren't."""
+    rows = [f"আজ {p} এলাকার কুকুর খুব সুন্দর লাগল। nice video ta, {p} গিয়েছি।" for p in ("ঢাকা", "খুলনা", "বরিশাল", "সিলেট", "যশোর", "পাবনা")] * 3
+    cases = {100: "ঢাকা এলাকার কুকু", 101: "এলাকার কুকুর খুব", 102: "খুল"}
+    fine = {200: "সুন্দর লাগল", 201: "nice video", 202: "nice video", 203: "বাহ", 204: "খুব সুন্দর লাগল", **{k: "first comment" for k in range(205, 210)}}
+    df = spark.createDataFrame([(k, "a", t) for k, t in enumerate(rows)] + [(k, "b", t) for k, t in (cases | fine).items()], "doc_id long, source string, text string")
+    assert {r.id for r in T.truncated(df).collect() if r.cut} - set(range(100)) == set(cases)
