@@ -30,6 +30,8 @@ LABELS = ("anger", "disgust", "fear", "joy", "sadness", "surprise")
 TRUST = {"EmoNoBa": 3, "UBMEC": 2, "MONOVAB": 1}
 DOMAINS = {"youtube": "Youtube", "facebook": "Facebook", "twitter": "Twitter"}
 
+AGREE = 1 << 40  # more rows than agree on all bundles of a group
+
 
 def filled(value: Column) -> Column:
     """The value without outer blanks, null where it is missing."""
@@ -70,7 +72,8 @@ def candidates(rows: DataFrame, id_col: str = "internal_id") -> DataFrame:
     seen = rows.select("keeper_id", F.col(id_col).alias("row_id"), F.coalesce("source_dataset", F.lit("")).alias("dataset"), trust.alias("trust"), recent.alias("recent"), F.explode(F.array(*parts)).alias("p"))
     same = seen.groupBy("keeper_id", "p.kind", "dataset", "p.value").agg(
         F.max("p.complete").alias("complete"), F.max("trust").alias("trust"), F.max("recent").alias("recent"), F.min("row_id").alias("row_id"), F.count("*").alias("n"))
-    score = F.col("complete") * 100.0 + F.col("trust") * 10.0 + F.least(F.lit(9.0), F.log1p("n"))
+    # completeness, then trust, then how many rows agree, as one whole number that sums exactly
+    score = (F.col("complete").cast("long") * 10 + F.col("trust")) * AGREE + F.col("n")
     best = F.max_by(F.struct("score", "row_id", "value"), F.struct("score", "recent", -F.col("row_id")))
     best = same.withColumn("score", score).groupBy("keeper_id", "kind", "dataset").agg(best.alias("b"))
     return best.select("keeper_id", "kind", "dataset", "b.score", "b.row_id", "b.value")
@@ -79,7 +82,7 @@ def candidates(rows: DataFrame, id_col: str = "internal_id") -> DataFrame:
 KINDS = ("origin", "labels", "place", "topic")
 
 
-def search(options: dict[str, list[tuple[float, int, str, str]]]) -> dict[str, tuple[float, int, str, str]]:
+def search(options: dict[str, list[tuple[int, int, str, str]]]) -> dict[str, tuple[int, int, str, str]]:
     """The consistent choice of bundles of the greatest trust.  Options are
     (score, row id, dataset, value), one list for each kind."""
     order = {k: sorted(options.get(k, []), key=lambda o: (-o[0], o[1])) for k in KINDS}

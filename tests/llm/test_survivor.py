@@ -38,3 +38,13 @@ def test_domains(spark):
     best = {r.keeper_id: r for r in S.survivors(df).collect()}
     assert set(best) == {1, 4, 7} and best[1].copies == 3 and best[1].topic == "x" and best[1].source_dataset == "EmoNoBa" and best[7].domain == "Facebook"
     assert S.survivors(df.limit(0)).collect() == []
+
+
+def test_agreement_has_no_cap(spark):
+    """Of two origins and topics in a hot group that of more rows wins, though both have many and the other is newer."""
+    many = spark.range(21_000).selectExpr(
+        "id as keeper", "id as internal_id", "'EmoNoBa' as source_dataset", "'Train' as source_split", "id % 5 < 2 as few", "timestamp_ntz'2024-01-01 00:00:00' as old", "timestamp_ntz'2024-06-01 00:00:00' as new"
+    ).selectExpr("0L as keeper_id", "internal_id", "source_dataset", "source_split", "if(few, 2L, 1L) as source_row_id", "'Facebook' as domain", "if(few, 'few', 'many') as topic", *(f"0 as {c}" for c in S.LABELS),
+        "'x' as original_class", "0L as original_love", "0L as original_contempt", "0L as original_enjoyment", "if(few, new, old) as ingested_at")
+    best = S.choices(S.candidates(many)).first()
+    assert '"many"' in best.topic and '"source_row_id":1' in best.origin
