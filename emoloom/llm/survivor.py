@@ -2,7 +2,8 @@
 
 Groups are those of ``dedup``.  A row's fields fall into bundles whose parts
 depend on each other and are chosen as a whole: its origin (dataset, split,
-row id), its place (domain), its topic, its labels.  A bundle's trust is made of
+row id), its place (domain), its topic, its labels with the flags that follow
+from the dataset, its text with the language, its thread with the times.  A bundle's trust is made of
 its completeness, the trust in its dataset, how many rows of the group agree
 on it, and how recent it is.  A branch-and-bound search picks the bundles
 with the greatest trust in sum under the functional dependency that the labels
@@ -53,17 +54,40 @@ def grouped(df: DataFrame, id_col: str = "internal_id", text: str = "text", **kw
     return both.join(df, F.col("_id") == F.col(id_col)).drop("_id")
 
 
-def candidates(rows: DataFrame, id_col: str = "internal_id") -> DataFrame:
+KINDS = ("origin", "labels", "place", "topic", "text", "thread")
+# The columns of each bundle; those that a table lacks are left out.
+BUNDLES = {
+    "origin": ("source_dataset", "source_split", "source_row_id"),
+    "labels": (*LABELS, "original_class", "original_love", "original_contempt", "original_enjoyment", "emonoba_disgust_assumption", "f5_eligible"),
+    "place": ("domain",),
+    "topic": ("topic",),
+    "text": ("text", "lang"),
+    "thread": ("thread_key", "commented_at", "ingested_at"),
+}
+_CLEANED = {c: filled for c in ("source_dataset", "source_split", "topic", "lang", "thread_key")} | {"domain": domain_of}
+
+
+def bundles(df: DataFrame, kinds: tuple[str, ...] = KINDS, text: str = "text") -> dict[str, list[str]]:
+    """The bundles of a table with those of their columns that it has."""
+    own = {k: [text if c == "text" else c for c in BUNDLES[k]] for k in kinds}
+    return {k: found for k, columns in own.items() if (found := [c for c in columns if c in df.columns])}
+
+
+def candidates(rows: DataFrame, id_col: str = "internal_id", kinds: tuple[str, ...] = KINDS, text: str = "text") -> DataFrame:
     """(keeper_id, kind, dataset, score, row_id, value): the best candidate of
-    each bundle and dataset of a group; ``value`` is its fields as JSON."""
+    each bundle and dataset of a group; ``value`` is its fields as JSON, times as text."""
     trust = F.coalesce(F.create_map(*[F.lit(x) for kv in TRUST.items() for x in kv])[F.col("source_dataset")], F.lit(0))
     recent = F.coalesce(F.unix_micros("ingested_at"), F.lit(0)) if dict(rows.dtypes).get("ingested_at") == "timestamp" else F.coalesce(F.unix_seconds(F.col("ingested_at").cast("timestamp")), F.lit(0))
-    fields = {
-        "origin": [filled(F.col("source_dataset")).alias("source_dataset"), filled(F.col("source_split")).alias("source_split"), F.col("source_row_id")],
-        "place": [domain_of(F.col("domain")).alias("domain")],
-        "topic": [filled(F.col("topic")).alias("topic")],
-        "labels": [F.col(c) for c in LABELS] + [F.col("original_class"), F.col("original_love"), F.col("original_contempt"), F.col("original_enjoyment")],
-    }
+    types = dict(rows.dtypes)
+
+    def field(c: str) -> Column:
+        if c == text:  # as it stands, but for blank ones, which are missing
+            return F.when(filled(F.col(c)).isNotNull(), F.col(c)).alias(c)
+        if c in _CLEANED:
+            return _CLEANED[c](F.col(c)).alias(c)
+        return (F.col(c).cast("string") if types[c].startswith("timestamp") else F.col(c)).alias(c)
+
+    fields = {kind: [field(c) for c in columns] for kind, columns in bundles(rows, kinds, text).items()}
     parts = []
     for kind, columns in fields.items():
         value = F.to_json(F.struct(*columns))
@@ -79,9 +103,6 @@ def candidates(rows: DataFrame, id_col: str = "internal_id") -> DataFrame:
     return best.select("keeper_id", "kind", "dataset", "b.score", "b.row_id", "b.value")
 
 
-KINDS = ("origin", "labels", "place", "topic")
-
-
 def search(options: dict[str, list[tuple[int, int, str, str]]]) -> dict[str, tuple[int, int, str, str]]:
     """The consistent choice of bundles of the greatest trust.  Options are
     (score, row id, dataset, value), one list for each kind."""
@@ -108,7 +129,7 @@ def search(options: dict[str, list[tuple[int, int, str, str]]]) -> dict[str, tup
 
 
 def choices(options: DataFrame) -> DataFrame:
-    """(keeper_id, origin, labels, place, topic): the chosen bundles as JSON."""
+    """(keeper_id, origin, labels, place, topic, text, thread): the chosen bundles as JSON."""
     option = F.struct("kind", "score", "row_id", "dataset", "value")
     groups = options.groupBy("keeper_id").agg(F.collect_list(option).alias("options"))
     schema = pa.schema([("keeper_id", pa.int64()), *((k, pa.string()) for k in KINDS)])
@@ -127,23 +148,27 @@ def choices(options: DataFrame) -> DataFrame:
     return groups.mapInArrow(run, "keeper_id long, " + ", ".join(f"{k} string" for k in KINDS))
 
 
-def survivors(df: DataFrame, id_col: str = "internal_id", text: str = "text", **kw) -> DataFrame:
-    """One record for each group of two or more: ``keeper_id``, ``copies`` and the chosen fields."""
+def survivors(df: DataFrame, id_col: str = "internal_id", text: str = "text", kinds: tuple[str, ...] = KINDS, **kw) -> DataFrame:
+    """One record for each group of two or more: ``keeper_id``, ``copies`` and
+    the chosen fields, all columns of the bundles ``kinds`` that the table has."""
     common.ship(df.sparkSession)
-    keep = [id_col, "source_dataset", "source_split", "source_row_id", "domain", "topic", *LABELS, "original_class", "original_love", "original_contempt", "original_enjoyment", "ingested_at"]
+    own, types = bundles(df, kinds, text), {f.name: f.dataType.simpleString() for f in df.schema}
+    keep = dict.fromkeys([id_col, "source_dataset", "domain", "ingested_at", *(c for columns in own.values() for c in columns)])
     groups = grouped(df, id_col, text, **kw)
     rows = common.cut(groups.select("keeper_id", *keep), "groups")
-    chosen = choices(candidates(rows, id_col))
+    chosen = choices(candidates(rows, id_col, kinds, text))
     lacking = domain_of(F.col("domain"))
     known = rows.groupBy("keeper_id").agg(F.count("*").alias("copies"), F.count(F.when(lacking.isNull(), 1)).alias("lacking"), F.count_distinct(F.lower(lacking)).alias("domains"))
-    origin = F.from_json("origin", "source_dataset string, source_split string, source_row_id long")
-    place, topic = F.from_json("place", "domain string"), F.from_json("topic", "topic string")
-    labels = F.from_json("labels", ", ".join(f"{c} int" for c in LABELS) + ", original_class string, original_love long, original_contempt long, original_enjoyment long")
-    out = chosen.join(known, "keeper_id").withColumns({"o": origin, "p": place, "t": topic, "l": labels})
-    return out.select("keeper_id", "copies", "lacking", "domains", "o.*", "p.*", "t.*", "l.*")
+    out = chosen.join(known, "keeper_id")
+    for kind, columns in own.items():
+        ddl = ", ".join(f"`{c}` {'string' if types[c].startswith('timestamp') else types[c]}" for c in columns)
+        out = out.withColumn(f"_{kind}", F.from_json(kind, ddl))
+    order = [k for k in ("origin", "place", "topic", "labels", "text", "thread") if k in own]
+    return out.select("keeper_id", "copies", "lacking", "domains", *(F.col(f"_{k}")[c].cast(types[c]).alias(c) for k in order for c in own[k]))
 
 
 def completed_domains(df: DataFrame, id_col: str = "internal_id", text: str = "text", **kw) -> DataFrame:
-    """(internal_id, domain): groups in which a row lacks the domain and all others agree on one."""
-    found = survivors(df, id_col, text, **kw).where("lacking > 0 and domains = 1 and domain is not null")
+    """(internal_id, domain): groups in which a row lacks the domain and all others
+    agree on one.  The place depends on no other bundle, so it alone is chosen."""
+    found = survivors(df, id_col, text, ("place",), **kw).where("lacking > 0 and domains = 1 and domain is not null")
     return found.select(F.col("keeper_id").alias("internal_id"), "domain")

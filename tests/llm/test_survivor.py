@@ -1,6 +1,9 @@
+import datetime
 import itertools
 import random
 
+from pyspark.sql import functions as F
+
 from emoloom.llm import survivor as S
 
 
@@ -48,3 +51,15 @@ def test_agreement_has_no_cap(spark):
         "'x' as original_class", "0L as original_love", "0L as original_contempt", "0L as original_enjoyment", "if(few, new, old) as ingested_at")
     best = S.choices(S.candidates(many)).first()
     assert '"many"' in best.topic and '"source_row_id":1' in best.origin
+
+
+def test_all_columns_survive(spark):
+    """Text, language, thread, times and flags come out too, the flags with the labels of the origin's dataset."""
+    more = "lang string, thread_key string, commented_at timestamp_ntz, emonoba_disgust_assumption boolean, f5_eligible boolean"
+    df = rows_of(spark, [(1, "aa bb cc dd", "UBMEC", None, 9, None, None), (2, "aa bb cc dd!", "EmoNoBa", "Train", 1, None, "x"), (3, "aa bb cc dd!", "EmoNoBa", "Train", 1, None, "x")])
+    flags = spark.createDataFrame([(1, None, None, None, False, False), (2, "bn", "t1", None, True, False), (3, "bn", "t1", None, True, False)], "internal_id long, " + more)
+    df = df.join(flags, "internal_id").withColumns({c: F.expr("timestamp_ntz'2024-01-01 10:00:00.123456'") for c in ("commented_at", "ingested_at")})
+    [r] = S.survivors(df).collect()
+    assert set(df.columns) - {"internal_id"} <= set(r.asDict())
+    assert (r.text, r.lang, r.thread_key, r.emonoba_disgust_assumption, r.f5_eligible, r.source_dataset) == ("aa bb cc dd!", "bn", "t1", True, False, "EmoNoBa")
+    assert r.commented_at == r.ingested_at == datetime.datetime(2024, 1, 1, 10, 0, 0, 123456)
