@@ -113,7 +113,7 @@ class Extractor:
                 width = self.tfidf.shape()[1]
                 packed = vectors(values, width).withColumnsRenamed({"doc": "_doc", "features": "_v_tfidf"})
                 rows = rows.join(packed, F.col(doc) == F.col("_doc"), "left").drop("_doc")
-                rows = rows.withColumn("_v_tfidf", F.coalesce("_v_tfidf", _zeros(width)))
+                rows = rows.withColumn("_v_tfidf", F.coalesce("_v_tfidf", zeros(width)))
                 inputs.append("_v_tfidf")
             elif block in self.scalers:
                 rows = self.scalers[block].transform(rows)
@@ -133,7 +133,7 @@ class Extractor:
         return out
 
 
-def _zeros(width: int) -> F.Column:
+def zeros(width: int) -> F.Column:
     from pyspark.ml.linalg import SparseVector, VectorUDT
 
     return F.udf(lambda: SparseVector(width, {}), VectorUDT())()

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions import features as X, text as T
-from ..operators import audit, metrics, models, runner, tfidf, thresholds
+from ..operators import audit, compose, metrics, models, runner, tfidf, thresholds
 from ..schema import LABELS
 from ..session import read, spread
 from . import sql as S
@@ -232,7 +232,8 @@ def _vectors(spark, d) -> tuple[DataFrame, DataFrame]:
 
     def wide(part: DataFrame) -> DataFrame:
         packed = tfidf.vectors(x.transform(part, "sample_id", "processed_text"), width)
-        return part.select(F.col("sample_id").alias("doc"), *LABELS).join(packed, "doc")
+        rows = part.select(F.col("sample_id").alias("doc"), *LABELS).join(packed, "doc", "left")
+        return rows.withColumn("features", F.coalesce("features", compose.zeros(width)))  # rows without any term
 
     return models.packed(wide(fit)), wide(rest)
 

@@ -143,3 +143,14 @@ def test_orders():
     assert sorted(models.chain_order("random", freq, freq, seed=1)) == sorted(freq)
     with pytest.raises(ValueError):
         models.chain_order("other", freq, freq)
+
+
+def test_rows_without_terms_stay(spark, tmp_path):
+    """A row with no term of the vocabulary has the zero vector and isn't dropped from fitting or prediction."""
+    from emoloom.plans import evaluation as E
+
+    rows = [(f"s{k}", "" if k % 4 == 0 else "খুব ভালো গান", *(int(k % 6 == j) for j in range(6))) for k in range(60)]
+    spark.createDataFrame(rows, "sample_id string, processed_text string, " + ", ".join(f"{c} int" for c in E.LABELS)).write.parquet(f"{tmp_path}/train.parquet")
+    fit, rest = E._vectors(spark, str(tmp_path))
+    got = {r.doc: r.features.numNonzeros() for part in (fit, rest) for r in part.collect()}
+    assert len(got) == 60 and got["s4"] == 0 and got["s1"] > 0
