@@ -275,11 +275,17 @@ def languages(df: DataFrame, id_col: str = "internal_id", text: str = "text", la
         for batch in batches:
             texts = [(None, False) if t is None else channel.restore(t) for t in common.column(batch, "text")]
             words = [[] if t is None else words_of(t) for t, _ in texts]
+            labels = common.column(batch, "label")
+            for x in labels:
+                if x not in named:
+                    named[x] = label_language(x)
             shown, parts = [], []
-            for found in model.read_all(words):
+            for found, (_, marked), x in zip(model.read_all(words), texts, labels):
                 if found is None:
-                    shown.append([])
-                    parts.append([])
+                    # Of a garbled text without a readable word only the script is known: it isn't Latin.
+                    guess = marked and named[x] in (None, "en", "bn-Latn", "other")
+                    shown.append([{"lang": "bn", "confidence": 0.0}] if guess else [])
+                    parts.append([{"lang": "bn", "words": 0, "confidence": 0.0}] if guess else [])
                     continue
                 sure, segments, scores = found
                 shown.append([{"lang": LANGUAGES[k], "confidence": c} for k, c in sure])
@@ -290,10 +296,6 @@ def languages(df: DataFrame, id_col: str = "internal_id", text: str = "text", la
                 for k, a, b in segments:
                     sums = scores[a:b].sum(0)
                     parts[-1].append({"lang": LANGUAGES[k], "words": b - a, "confidence": float(1 / np.exp(np.clip(sums - sums[k], -30, 30)).sum())})
-            labels = common.column(batch, "label")
-            for x in labels:
-                if x not in named:
-                    named[x] = label_language(x)
             lengths = [0 if t is None else len(t.split(None, 4)) for t, _ in texts]
             out = [batch.column(batch.schema.get_field_index("id")), labels, [named[x] for x in labels], lengths, [m for _, m in texts], shown, parts]
             yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, f.type) for c, f in zip(out, schema)], schema=schema)
@@ -308,8 +310,6 @@ def mislabelled(df: DataFrame, id_col: str = "internal_id", text: str = "text",
     language or another, and every language of mixed ones."""
     rows = languages(df, id_col, text, label, **kw).where("words >= 4")
     mixed = F.size("languages") > 1
-    # Of a garbled text without a readable word only the script is known: it isn't Latin.
-    guess = F.when((F.size("languages") == 0) & F.col("marks") & (F.col("named").isNull() | F.col("named").isin("en", "bn-Latn", "other")), F.array(F.lit("bn")))
-    own = F.when(F.size("languages") > 0, F.col("languages.lang")).otherwise(guess)
+    own = F.when(F.size("languages") > 0, F.col("languages.lang"))
     wrong = F.col("named").isNull() | (F.col("named") != own[0])
     return rows.where(own.isNotNull() & (mixed | wrong)).select(id_col, F.explode(own).alias("lang"))

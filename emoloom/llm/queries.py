@@ -27,12 +27,12 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p1_languages(spark: SparkSession, d: str) -> DataFrame:
     rows = langid.languages(_comments(spark, d))
-    return rows.select("internal_id", F.explode("languages").alias("x")).select("internal_id", "x.lang", F.round("x.confidence", 4).alias("confidence"))
+    return rows.select("internal_id", F.explode_outer("languages").alias("x")).select("internal_id", "x.lang", F.coalesce(F.round("x.confidence", 4), F.lit(0.0)).alias("confidence"))
 
 
 def p1_segments(spark: SparkSession, d: str) -> DataFrame:
     rows = langid.languages(_comments(spark, d))
-    return rows.select("internal_id", F.posexplode("segments").alias("segment", "x")).select("internal_id", "segment", "x.lang", "x.words", F.round("x.confidence", 4).alias("confidence"))
+    return rows.select("internal_id", F.posexplode_outer("segments").alias("segment", "x")).select("internal_id", "segment", "x.lang", "x.words", F.coalesce(F.round("x.confidence", 4), F.lit(0.0)).alias("confidence"))
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:

@@ -51,3 +51,15 @@ def test_table(spark):
     shown = {r.internal_id: r for r in L.languages(df).collect()}
     assert shown[503].languages == [] and abs(sum(x.confidence for x in shown[507].languages) - 1) < 1e-6 and all(0 <= x.confidence <= 1 for r in shown.values() for x in r.languages)
     assert L.mislabelled(df.limit(0)).collect() == []
+
+
+def test_rows_without_a_readable_word_stay(spark, tmp_path):
+    """Rows without a readable word have a null language, garbled ones the script's guess, both at confidence 0."""
+    from emoloom.llm import queries as Q
+
+    rows = [(k, "আমার ভাই খুব ভালো গান গায় আজ", "bn") for k in range(20)] + [(100, None, "bn"), (101, "123 !!!", None), (102, "???? ??? ????? ????", "en")]
+    spark.createDataFrame(rows, "internal_id long, text string, lang string").write.parquet(f"{tmp_path}/harmonized_pre_dedup.parquet")
+    for query in (Q.p1_languages, Q.p1_segments):
+        got = {r.internal_id: (r.lang, r.confidence) for r in query(spark, str(tmp_path)).collect()}
+        assert len(got) == 23 and got[100] == got[101] == (None, 0.0) and got[102] == ("bn", 0.0), query
+    assert (102, "bn") in {tuple(r) for r in Q.p1_found(spark, str(tmp_path)).collect()}
