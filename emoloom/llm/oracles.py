@@ -1,7 +1,55 @@
-"""SQL for the queries of this subpackage that SQL can express."""
+"""The SQL that DuckDB can run for queries of this subpackage.
+
+Problem 10 is SQL throughout.  The others read texts by byte lattices, tries,
+letter models or byte pairs (p1 to p4, p8, and p9, whose sizes are tokens), or
+by keys made of such forms (p5 to p7); they are held against brute force and
+plain Python in the tests.
+"""
 
 from __future__ import annotations
 
+from . import truncation as T
+
+
+def _quoted(x: str) -> str:
+    return "'" + x.replace("'", "''") + "'"
+
+
+_CHARS = "'" + "' || '".join(f"' || chr({ord(c)}) || '" if not c.isalnum() else c for c in T.BLANKS) + "'"
+_FROM = " || ".join(f"chr({ord(c)})" for c in T.ENDS + T.OTHERS)
+_TEXTS = f"""SELECT id, source, NOT (coalesce(right(regexp_replace(t, {_quoted(T.CLOSERS)}, ''), 1) IN ('।', '॥', '!', '?', '.'), false) OR regexp_matches(t, {_quoted(T.DECORATED)})) AS open,
+    list_filter(string_split_regex(replace(replace(translate(lower(t), {_FROM}, '{"¶" * len(T.ENDS)}{" " * len(T.OTHERS)}'), '¶', ' ¶ '), ',', ' , '), ' +'), lambda x: x <> '') AS w
+    FROM (SELECT id, source, rtrim(regexp_replace(rtrim(regexp_replace(t, {_quoted(T.CUT_MARK)}, ''), {_CHARS}), {_quoted(T.DOTS)}, ''), {_CHARS}) AS t
+        FROM (SELECT doc_id AS id, source, rtrim(text, {_CHARS}) AS t FROM documents WHERE text IS NOT NULL) WHERE t <> '')"""
+_TOKENS = "SELECT id, i, w[i] AS c, CASE WHEN i > 1 THEN w[i - 1] ELSE '^' END AS b, CASE WHEN i > 2 THEN w[i - 2] ELSE '^' END AS a, w[i + 1] AS d FROM (SELECT id, w, unnest(range(1, len(w))) AS i FROM texts)"
+_CLASSES = "coalesce(ka.k, CASE WHEN a = '^' THEN a ELSE '*' END) AS a, coalesce(kb.k, CASE WHEN b = '^' THEN b ELSE '*' END) AS b, coalesce(kc.k, '*') AS c"
+_JOINED = " ".join(f"LEFT JOIN known k{x} ON g.{x} = k{x}.k" for x in "abc")
+_STEPS = {
+    "texts": _TEXTS,
+    "tokens": _TOKENS,
+    "known": f"SELECT c AS k FROM tokens GROUP BY c HAVING count(*) >= {T.LEAST} AND count(*) * {T.SHARE} >= (SELECT count(*) FROM tokens) AND NOT contains(c, '�')",
+    "grams": f"SELECT a, b, c, count(*) FILTER (WHERE e) AS ends, count(*) FILTER (WHERE NOT e) AS inside FROM (SELECT {_CLASSES}, {T.ENDING} AS e FROM (SELECT * FROM tokens WHERE c <> '¶') g {_JOINED}) GROUP BY a, b, c",
+    "finals": f"""SELECT id, source, open, {_CLASSES}, rtrim(g.c, '�') AS piece, short, whole FROM
+        (SELECT id, source, open AND len(w) > 0 AS open, f[len(f) - 2] AS a, f[len(f) - 1] AS b, f[len(f)] AS c, len(w) <= 3 AS short, CASE WHEN open AND len(w) <= 3 THEN array_to_string(w, ' ') END AS whole
+            FROM (SELECT *, list_concat(['^', '^', '^'], w) AS f FROM texts)) g {_JOINED}""",
+    **T.SHARED,
+    "cuts": T.CUTS,
+}
+
+
+def _filled(sql: str) -> str:
+    more = {"least": T.LEAST, "rare": T.RARE, "left": "left(c, k)", "upto": "unnest(range(0, length(c)))"}
+    for k, v in {**{k: k for k in _STEPS}, **more}.items():
+        sql = sql.replace("{" + k + "}", str(v))
+    return sql
+
+
+_CUTS = "WITH " + ", ".join(f"{k} AS ({_filled(sql)})" for k, sql in _STEPS.items())
+
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "p10_found": f"{_CUTS} SELECT id AS doc_id FROM cuts WHERE cut",
+        "p10_evidence": f"{_CUTS} SELECT evidence, count(*) AS documents FROM cuts GROUP BY evidence",
+        "p10_rates": f"{_CUTS} SELECT source, count(*) AS documents, count(*) FILTER (WHERE cut) AS cut, round(avg(cut::INT), 6) AS rate FROM cuts GROUP BY source",
+    }

@@ -123,9 +123,14 @@ def p10_rates(spark: SparkSession, d: str) -> DataFrame:
     return truncation.rates(truncation.truncated(_documents(spark, d)))
 
 
+def p10_evidence(spark: SparkSession, d: str) -> DataFrame:
+    """How many documents each count decided."""
+    return truncation.truncated(_documents(spark, d)).groupBy("evidence").agg(F.count("*").alias("documents"))
+
+
 _ALL = (
     p1_found, p1_languages, p1_segments, p2_found, p2_masked, p2_patterns, p3_found, p3_canonical, p4_found, p4_restored, p4_sources,
-    p5_found, p5_survivors, p6_found, p6_report, p7_found, p7_copies, p8_ids, p9_mix, p9_shares, p10_found, p10_rates,
+    p5_found, p5_survivors, p6_found, p6_report, p7_found, p7_copies, p8_ids, p9_mix, p9_shares, p10_found, p10_rates, p10_evidence,
 )
 
 

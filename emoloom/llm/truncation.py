@@ -1,18 +1,23 @@
 """Problem 10: texts cut off before their end, in SQL.
 
-Word trigrams (and the pairs and single words at their ends) are counted over
-all texts: inside sentences, where more words follow, and at their ends
-(before a final mark, a line break, an emoji, a hashtag, a link).  The trigram
-that ends a text is joined to these counts, the pair or the word where it is
-too rare to tell: a text whose last words are frequent inside sentences but
-almost never end one was cut.  A last word that hardly occurs elsewhere is a
-piece of a longer one, hence cut.  A broken character at the end, a comma, and
-a mark of the cutting ("read more") are cases by themselves; a text that ends
-in a final mark, an emoji, a hashtag or a link isn't one.  A text of three
-words or fewer is often a stock phrase that ends without a mark: where it recurs
-whole, its copies count as ends of its trigram; its own end counts as one of
-its pair or word, and its rare last word is only taken for a piece where a
-longer word of the corpus begins with it.
+Word trigrams are counted over all texts: inside sentences, where more words
+follow, and at their ends (before a final mark, a line break, an emoji, a
+hashtag, a link).  Words below a share of all tokens (names, pieces of words)
+are one class, ``*``, in the trigrams.  The trigram that ends an open text (one
+without a final mark, emoji, hashtag or link at its end) is joined to these
+counts: frequent inside but almost never terminal, it shows that the text was
+cut.  The counts are rolled up for what is too rare to tell: a trigram with any
+last word, the pair, the pair with any last word, the word.
+
+A last word outside the vocabulary is a piece of a word where the corpus has a
+trigram (or pair) that goes on with a longer word beginning with it; a broken
+character at the end is such a piece, empty where nothing precedes it.  Dots at
+the end and a mark of the cutting behind them ("read more") are taken off
+first and tell nothing by themselves.  A text of three words or fewer is often
+a stock phrase that ends without a mark: where it recurs whole its copies count
+as ends of its trigram, and only trigrams that hold a word of context decide.
+Of what no count tells (fewer than ``LEAST`` places) only pieces of words of the
+vocabulary are reported.
 
 Null, empty and blank texts are no cases.
 """
@@ -27,101 +32,126 @@ from . import common
 
 # What follows the dots where a text was cut.
 MARKS = ("আরও পড়ুন", "আরো পড়ুন", "আরও দেখুন", "আরো দেখুন", "আরও", "আরো", "বিস্তারিত", "read more", "see more", "show more", "continue reading", "more", "aro porun", "aro dekhun", "aro", "और पढ़ें", "और देखें", "थप पढ्नुहोस्", "অধিক পঢ়ক")
-RARE = 0.02  # the most of its places where the ending of a cut text ends a sentence
+RARE = 50  # an ending of a cut text ends a sentence in at most one of so many of its places
 LEAST = 4  # places that a trigram, pair or word must have to tell
-
-MOST_KEYS = 2_000_000  # 16 MB of keys are broadcast; beyond, the join is shuffled
+SHARE = 100_000  # the vocabulary: words of one in so many tokens or more, hence at most so many words, which are broadcast
 
 _EMOJI = r"[\x{1F000}-\x{1FAFF}\x{2600}-\x{27BF}\x{FE0F}\x{200D}]"
 _MARKS = "|".join(MARKS).replace("য়", "(?:য়|য়)").replace("ড়", "(?:ড়|ড়)").replace("ঢ়", "(?:ঢ়|ঢ়)").replace("ढ़", "(?:ढ़|ढ़)")
-# Blanks; marks that end a sentence; other marks, which go.
-_BLANKS, _ENDS, _OTHERS = "\t\v\f\u00a0\u2009\u200a\u202f\u2003\u3000", "।॥.!?…\n\r", ",;:\"()[]|“”‘’—–'�\u00ad\u200b\u200e\u200f\u2060\ufeff"
+# Blanks; marks that end a sentence; other marks, which go.  A comma is a token.
+BLANKS, ENDS, OTHERS = " \t\x0b\f     　\n\r​‎‏⁠﻿­", "।॥.!?…\n\r", "\t\x0b\f     　;:\"()[]|“”‘’—–'­​‎‏⁠﻿"
+FINAL = "।॥!?."
+CUT_MARK = rf"(?i)(?:\.\.+|…)\s*(?:{_MARKS})$"
+DOTS = r"(?:\.\.+|…|\s\.)+$"
+CLOSERS = "[\"”’)\\]'»" + "".join(f"\\x{{{ord(c):x}}}" for c in BLANKS) + "]+$"
+DECORATED = rf"{_EMOJI}$|(?:^|\s)(?:#\S+|https?://\S+)$"
+ENDING = "(d = '¶' OR d LIKE '#%' OR d LIKE 'http%' OR ascii(d) BETWEEN 9728 AND 10175 OR ascii(d) >= 126976)"
+
+
+def _quoted(x: str) -> str:
+    return "'" + "".join("\\\\" if c == "\\" else "\\'" if c == "'" else f"\\u{ord(c):04x}" if ord(c) < 32 or 0x7F <= ord(c) < 0xB0 or 0x2000 <= ord(c) < 0x2070 or c == "﻿" else c for c in x) + "'"
+
+
+def _regex(x: str) -> str:
+    return 'r"' + x.replace('"', r"\x22") + '"'
 
 
-def _sql_text(x: str) -> str:
-    return "'" + "".join("\\\\" if c == "\\" else "\\'" if c == "'" else f"\\u{ord(c):04x}" if ord(c) < 32 or 0x7F <= ord(c) < 0xB0 or 0x2000 <= ord(c) < 0x2070 or c == "\ufeff" else c for c in x) + "'"
+# A text without what stands behind its last word or mark; whether it is open; its tokens, a pilcrow for each mark that ends a sentence.
+TEXTS = f"""SELECT id, source, NOT (right(regexp_replace(t, {_regex(CLOSERS)}, ''), 1) IN ('।', '॥', '!', '?', '.') OR t RLIKE {_regex(DECORATED)}) AS open,
+        filter(split(replace(replace(translate(lower(t), {_quoted(ENDS + OTHERS)}, {_quoted("¶" * len(ENDS) + " " * len(OTHERS))}), '¶', ' ¶ '), ',', ' , '), ' +'), x -> x <> '') AS w
+    FROM (SELECT id, source, rtrim({_quoted(BLANKS)}, regexp_replace(rtrim({_quoted(BLANKS)}, regexp_replace(t, {_regex(CUT_MARK)}, '')), {_regex(DOTS)}, '')) AS t
+        FROM (SELECT {{id}} AS id, {{source}} AS source, rtrim({_quoted(BLANKS)}, {{text}}) AS t FROM {{rows}} WHERE {{text}} IS NOT NULL) WHERE t <> '')"""
 
+WORDS = "SELECT c, count(*) AS n FROM (SELECT explode(slice(w, 1, greatest(size(w) - 1, 0))) AS c FROM {texts}) GROUP BY c"
+KNOWN = "SELECT c AS k FROM {words} WHERE n >= {least} AND n * {share} >= {total} AND NOT contains(c, '�')"
 
-# Dots at the very end, and a mark of the cutting behind them, are in question: they tell nothing of what ends a sentence.
-_CUT_MARK = rf"(?i)(?:\.\.+|…)\s*(?:{_MARKS})$"
-_BODY = f"CASE WHEN right(t, 64) RLIKE r'{_CUT_MARK}' THEN regexp_replace(t, r'{_CUT_MARK}', '') WHEN t RLIKE r'(?:\\.\\.|…)$' THEN rtrim('.…', t) ELSE t END"
+_CLASSES = "coalesce(ka.k, if(a = '^', a, '*')) AS a, coalesce(kb.k, if(b = '^', b, '*')) AS b, coalesce(kc.k, '*') AS c"
+_JOINED = " ".join(f"LEFT JOIN {{known}} k{x} ON g.{x} = k{x}.k" for x in "abc")
 
-#: The text as words with a pilcrow for every mark that ends a sentence.
-_PLAIN = f"trim(replace(translate(lower({_BODY}), {_sql_text(_BLANKS + _ENDS + _OTHERS)}, {_sql_text(' ' * len(_BLANKS) + '¶' * len(_ENDS))}), '¶', ' ¶ '))"
+# Every trigram of classes that something follows: how often that ends the sentence.
+GRAMS = f"""SELECT a, b, c, count_if(e) AS ends, count_if(NOT e) AS inside FROM
+    (SELECT {_CLASSES}, {ENDING} AS e FROM
+        (SELECT g.* FROM (SELECT explode(arrays_zip(a, b, c, d)) AS g FROM (SELECT concat(array('^', '^'), w) AS a, concat(array('^'), w) AS b, w AS c, slice(w, 2, size(w)) AS d FROM {{texts}})) WHERE g.d IS NOT NULL AND g.c <> '¶') g {_JOINED})
+    GROUP BY a, b, c"""
 
-TEXTS = f"""SELECT id, source, t, plain, split(plain, ' +') AS w FROM (SELECT id, source, t, {_PLAIN} AS plain FROM
-    (SELECT {{id}} AS id, {{source}} AS source, rtrim({_sql_text(" " + chr(10) + chr(13) + _BLANKS + chr(0x200B) + chr(0x200E) + chr(0x200F) + chr(0x2060) + chr(0xFEFF) + chr(0xAD))}, {{text}}) AS t FROM {{rows}} WHERE {{text}} IS NOT NULL)
-    WHERE t <> '')"""
+# The trigram that ends each open text; the last word as it stands, without a broken character.
+FINALS = f"""SELECT id, source, open, {_CLASSES}, rtrim('�', g.c) AS piece, short, whole FROM
+    (SELECT id, source, open AND size(w) > 0 AS open, element_at(f, -3) AS a, element_at(f, -2) AS b, element_at(f, -1) AS c, size(w) <= 3 AS short, if(open AND size(w) <= 3, array_join(w, ' '), NULL) AS whole
+        FROM (SELECT *, concat(array('^', '^', '^'), w) AS f FROM {{texts}})) g {_JOINED}"""
 
-FINALS = rf"""SELECT id, source, stopped, signed, decorated, short,
-        xxhash64(3, element_at(f, -3), element_at(f, -2), element_at(f, -1)) AS three, xxhash64(2, element_at(f, -2), element_at(f, -1)) AS two, xxhash64(1, element_at(f, -1)) AS one,
-        CASE WHEN short THEN element_at(f, -1) END AS last
-    FROM (SELECT id, source, size(w) <= 3 AS short,
-            endswith(t, '�') OR endswith(t, ',') OR right(t, 64) RLIKE r'(?i)(?:\.\.+|…)\s*(?:{_MARKS})$' AS signed,
-            right(t, 8) RLIKE r'(?:^|[^.…])[।॥!?.][\"”’)\]''»]*$' AS stopped,
-            right(t, 64) RLIKE r'{_EMOJI}[.…]*$' OR substring_index(t, ' ', -1) RLIKE r'(?:^|\s)(?:#\S+|https?://\S+)[.…]*$' AS decorated,
-            concat(array('^', '^'), split(rtrim(' ¶', plain), ' +')) AS f FROM {{texts}})"""
+# From here on the same SQL serves any engine.
+WHOLES = "SELECT whole, count(*) AS copies FROM {finals} WHERE whole IS NOT NULL GROUP BY whole HAVING count(*) > 1"
+ASKED = "SELECT a, b, c, piece, short, coalesce(copies, 0) AS copies FROM {finals} f LEFT JOIN {wholes} h ON f.whole = h.whole WHERE open GROUP BY a, b, c, piece, short, coalesce(copies, 0)"
+ROLLED = {
+    "any3": "SELECT a, b, sum(ends) AS ends, sum(inside) AS inside FROM {grams} GROUP BY a, b",
+    "two": "SELECT b, c, sum(ends) AS ends, sum(inside) AS inside FROM {grams} GROUP BY b, c",
+    "any2": "SELECT b, sum(ends) AS ends, sum(inside) AS inside FROM {grams} GROUP BY b",
+    "one": "SELECT c, sum(ends) AS ends, sum(inside) AS inside FROM {grams} GROUP BY c",
+}
+LONGER3 = "SELECT DISTINCT g.a, g.b, {left} AS piece FROM (SELECT a, b, c, {upto} AS k FROM {grams} WHERE c <> '*') g JOIN (SELECT DISTINCT a, b FROM {asked} WHERE c = '*') q ON g.a = q.a AND g.b = q.b"
+LONGER1 = "SELECT DISTINCT piece FROM (SELECT {left} AS piece FROM (SELECT c, {upto} AS k FROM {one} WHERE c <> '*' AND c <> '¶')) WHERE piece <> ''"
+LONGER2 = "SELECT DISTINCT g.b, {left} AS piece FROM (SELECT b, c, {upto} AS k FROM {two} WHERE c <> '*') g JOIN (SELECT DISTINCT b FROM {asked} WHERE c = '*') q ON g.b = q.b"
 
-OPEN = "NOT (signed OR stopped OR decorated)"
 
-KEYS = "SELECT DISTINCT explode(array(three, two, one)) AS key FROM {finals} WHERE {open}"
+def _tells(x: str) -> tuple[str, str]:
+    """Whether the counts of a table tell, and whether they say that the text was cut."""
+    return f"coalesce({x}.ends + {x}.inside, 0) + q.copies >= {{least}}", f"(coalesce({x}.ends, 0) + q.copies) * {{rare}} <= coalesce({x}.ends + {x}.inside, 0) + q.copies"
 
-# Every word with the two before it; whether a sentence ends behind it.
-GRAMS = """SELECT {hint} key, count_if(ends) AS ends, count_if(NOT ends) AS inside FROM
-    (SELECT explode(array(xxhash64(3, g.a, g.b, g.w), xxhash64(2, g.b, g.w), xxhash64(1, g.w))) AS key,
-            g.d = '¶' OR startswith(g.d, '#') OR startswith(g.d, 'http') OR ascii(g.d) BETWEEN 9728 AND 10175 OR ascii(g.d) >= 126976 AS ends FROM
-        (SELECT explode(arrays_zip(a, b, w, d)) AS g FROM
-            (SELECT concat(array('^', '^'), w) AS a, concat(array('^'), w) AS b, w, concat(slice(w, 2, size(w)), array('$')) AS d FROM {texts}))
-        WHERE g.w <> '¶' AND g.d <> '$')
-    LEFT SEMI JOIN {keys} k USING (key) GROUP BY key"""
 
-# How often a short text stands whole, where it recurs; three is the whole of it.
-WHOLES = "SELECT three AS key, count(*) AS copies FROM {finals} WHERE short AND {open} GROUP BY three HAVING count(*) > 1"
+_LAST = "CASE WHEN q.c = '*' AND l1.piece IS NOT NULL THEN 'piece1' ELSE 'none' END"  # what no count tells of
 
-# The last words of short texts that neither their copies nor other places tell of, and those of them that begin a longer word.
-LASTS = """SELECT DISTINCT last, length(last) AS size FROM {finals} f LEFT JOIN {grams} g ON f.one = g.key LEFT JOIN {wholes} c ON f.three = c.key
-    WHERE short AND {open} AND coalesce(g.ends + g.inside, 0) < {least} AND coalesce(c.copies, 0) < {least}"""
 
-PIECES = """SELECT {hint} DISTINCT l.last FROM (SELECT explode(w) AS w FROM {texts}) t
-    JOIN {lasts} l ON left(t.w, {head}) = left(l.last, {head}) AND length(t.w) > l.size AND startswith(t.w, l.last)"""
+def _verdict() -> str:
+    whens = ["q.c = '*' AND q.copies > 0 THEN 'none'", "q.c = '*' AND l3.piece IS NOT NULL THEN 'piece3'", "q.c = '*' AND l2.piece IS NOT NULL THEN 'piece2'", f"q.c = '*' AND q.b = '^' THEN {_LAST}"]
+    for name, x, only in (("three", "g", "true"), ("any3", "y", "q.c = '*'"), ("none", "", "q.short"), ("two", "t", "true"), ("any2", "z", "q.c = '*'"), ("one", "o", "q.c <> '*'")):
+        if not x:
+            whens.append(f"{only} THEN {_LAST}")
+            continue
+        enough, rare = _tells(x)
+        whens.append(f"{only} AND {enough} THEN CASE WHEN {rare} THEN '{name}' ELSE 'none' END")
+    return "CASE " + " ".join("WHEN " + w for w in whens) + f" ELSE {_LAST} END"
 
-CUTS = """SELECT id, source, signed OR ({open} AND
-        CASE WHEN short AND coalesce(e3 + i3, 0) + coalesce(copies, 0) >= {least} THEN coalesce(e3, 0) + coalesce(copies, 0) <= {rare} * (coalesce(e3 + i3, 0) + coalesce(copies, 0))
-             WHEN copies > 1 THEN p.last IS NOT NULL
-             WHEN e3 + i3 >= {least} THEN e3 <= {rare} * (e3 + i3) WHEN e2 + i2 >= {least} THEN e2 + int(short) <= {rare} * (e2 + i2 + int(short))
-             WHEN e1 + i1 >= {least} THEN e1 + int(short) <= {rare} * (e1 + i1 + int(short)) ELSE NOT short OR p.last IS NOT NULL END) AS cut
-    FROM {finals} f
-    LEFT JOIN (SELECT key, ends AS e3, inside AS i3 FROM {grams}) g3 ON f.three = g3.key AND {open}
-    LEFT JOIN (SELECT key, ends AS e2, inside AS i2 FROM {grams}) g2 ON f.two = g2.key AND {open}
-    LEFT JOIN (SELECT key, ends AS e1, inside AS i1 FROM {grams}) g1 ON f.one = g1.key AND {open}
-    LEFT JOIN {wholes} c ON f.three = c.key AND short AND {open}
-    LEFT JOIN {pieces} p ON f.last = p.last AND {open}"""
 
+VERDICTS = f"""SELECT q.a, q.b, q.c, q.piece, q.short, q.copies, {_verdict()} AS evidence FROM {{asked}} q
+    LEFT JOIN {{grams}} g ON q.a = g.a AND q.b = g.b AND q.c = g.c LEFT JOIN {{any3}} y ON q.a = y.a AND q.b = y.b LEFT JOIN {{two}} t ON q.b = t.b AND q.c = t.c
+    LEFT JOIN {{any2}} z ON q.b = z.b LEFT JOIN {{one}} o ON q.c = o.c
+    LEFT JOIN {{longer3}} l3 ON q.a = l3.a AND q.b = l3.b AND q.piece = l3.piece AND q.c = '*' LEFT JOIN {{longer2}} l2 ON q.b = l2.b AND q.piece = l2.piece AND q.c = '*' LEFT JOIN {{longer1}} l1 ON q.piece = l1.piece AND q.c = '*'"""
 
-def truncated(docs: DataFrame, id_col: str = "doc_id", text: str = "text", source: str = "source", rare: float = RARE, least: int = LEAST) -> DataFrame:
-    """(id, source, cut) of every text that isn't null or blank."""
+CUTS = """SELECT f.id, f.source, coalesce(v.evidence, 'none') <> 'none' AS cut, coalesce(v.evidence, 'none') AS evidence FROM {finals} f LEFT JOIN {wholes} h ON f.whole = h.whole
+    LEFT JOIN {verdicts} v ON f.open AND f.a = v.a AND f.b = v.b AND f.c = v.c AND f.piece = v.piece AND f.short = v.short AND coalesce(h.copies, 0) = v.copies"""
+
+SHARED = {"wholes": WHOLES, "asked": ASKED, **ROLLED, "longer3": LONGER3, "longer2": LONGER2, "longer1": LONGER1, "verdicts": VERDICTS}
+
+
+def truncated(docs: DataFrame, id_col: str = "doc_id", text: str = "text", source: str = "source", rare: int = RARE, least: int = LEAST, share: int = SHARE) -> DataFrame:
+    """(id, source, cut, evidence) of every text that isn't null or blank;
+    ``evidence`` is the count that told (three, any3, two, any2, one, or piece3,
+    piece2 and piece1 for a piece of a longer word), "none" where it isn't cut.
+
+    What is broadcast is the vocabulary, at most ``share`` words; everything
+    else is aggregated on the map side, then joined by key."""
     spark, own = docs.sparkSession, uuid.uuid4().hex[:8]
-    name = {k: f"{k}_{own}" for k in ("rows", "texts", "finals", "keys", "grams", "wholes", "lasts", "pieces")}
+    name = {k: f"{k}_{own}" for k in ("rows", "texts", "words", "known", "grams", "finals", *SHARED)}
     docs.createOrReplaceTempView(name["rows"])
-
-    def filled(sql: str, **more: str) -> str:
-        for k, v in {**name, "id": id_col, "text": text, "source": source, "open": OPEN, "least": least, "rare": rare, **more}.items():
-            sql = sql.replace("{" + k + "}", str(v))
-        return sql
-
-    spark.sql(filled(TEXTS)).createOrReplaceTempView(name["texts"])
-    common.cut(spark.sql(filled(FINALS)), "finals").createOrReplaceTempView(name["finals"])
-    keys = common.cut(spark.sql(filled(KEYS)), "keys")
-    keys.createOrReplaceTempView(name["keys"])
-    hint = "/*+ BROADCAST(k) */" if keys.count() <= MOST_KEYS else ""
-    common.cut(spark.sql(filled(GRAMS, hint=hint)), "grams").createOrReplaceTempView(name["grams"])
-    spark.sql(filled(WHOLES)).createOrReplaceTempView(name["wholes"])
-    lasts = common.cut(spark.sql(filled(LASTS)), "lasts")
-    lasts.createOrReplaceTempView(name["lasts"])
-    n, head = lasts.agg(F.count("*"), F.min("size")).first()
-    pieces = filled(PIECES, hint="/*+ BROADCAST(l) */" if n <= MOST_KEYS else "", head=head) if n else f"SELECT last FROM {name['lasts']}"
-    common.cut(spark.sql(pieces), "pieces").createOrReplaceTempView(name["pieces"])
-    return spark.sql(filled(CUTS))
+    more = {"id": id_col, "text": text, "source": source, "least": least, "rare": rare, "share": share, "left": "left(c, k)", "upto": "explode(sequence(0, length(c) - 1))"}
+
+    def step(k: str, sql: str, write: bool = False) -> DataFrame:
+        for x, v in {**name, **more}.items():
+            sql = sql.replace("{" + x + "}", str(v))
+        out = spark.sql(sql)
+        out = common.cut(out, k) if write else out
+        if k in name:
+            out.createOrReplaceTempView(name[k])
+        return out
+
+    step("texts", TEXTS, True)
+    more["total"] = step("words", WORDS, True).agg(F.sum("n")).first()[0] or 0
+    F.broadcast(step("known", KNOWN)).createOrReplaceTempView(name["known"])
+    step("grams", GRAMS, True)
+    step("finals", FINALS, True)
+    for k, sql in SHARED.items():
+        step(k, sql, k == "asked")
+    return step("cuts", CUTS)
 
 
 def rates(cuts: DataFrame) -> DataFrame:
