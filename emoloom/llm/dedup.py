@@ -3,11 +3,12 @@
 Each text becomes canonical bytes: its look-alike form in lower case without
 blanks and punctuation, the fields of a "label: value" text sorted.  Copies
 are found by recursive radix partitioning on these bytes: buckets of one
-prefix that exceed ``bucket_limit`` are split by twice as many bytes until
-each fits, then counted in a trie with a terminal counter for each distinct
-key.  Every batch is combined before the shuffle.  A bucket that is one single
-key can't be split: its smallest id comes from a combined aggregate and its
-members are written without a shuffle, however many there are.
+prefix that hold more than ``bucket_limit`` ids are split by twice as many
+bytes until each fits, then counted in a trie with a terminal counter for each
+distinct key.  Every batch is combined before the shuffle.  A bucket that is
+one single key can't be split by more bytes: its smallest id comes from a
+combined aggregate and its members are written without a shuffle, in batches,
+however many there are.  The oversized prefixes stay in tables that are joined.
 
 Not cases, hence in no group: texts that are null, have three words or fewer,
 or have no letter or digit.
@@ -19,11 +20,10 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from . import common
-from .lookalike import Canonicaliser, is_case, vocabulary
+from .lookalike import Canonicaliser, confusables, is_case, pairs_of, spellings, with_forms
 
 # Punctuation by Unicode category P, and ASCII's symbols.
 _PUNCT = None
@@ -60,16 +60,16 @@ def fields(text: str) -> list[str] | None:
 class Keys:
     """Canonical bytes of texts."""
 
-    def __init__(self, vocabulary: list[str] = ()):
-        self.canonical, self.strip = Canonicaliser(vocabulary), _punctuation().sub
+    def __init__(self, alternatives: dict[str, tuple[str, ...]] | None = None):
+        self.canonical, self.strip = Canonicaliser((), alternatives), _punctuation().sub
 
-    def plain(self, text: str) -> str:
-        return self.strip("", self.canonical.text(text).lower())
+    def plain(self, text: str, forms: list[tuple[str, str]] = ()) -> str:
+        return self.strip("", self.canonical.text(text, forms).lower())
 
-    def key(self, text: str) -> str:
+    def key(self, text: str, forms: list[tuple[str, str]] = ()) -> str:
         if parts := fields(text):
-            return "\x1f".join(sorted(map(self.plain, parts)))
-        return self.plain(text)
+            return "\x1f".join(sorted(self.plain(p, forms) for p in parts))
+        return self.plain(text, forms)
 
 
 class CopyTrie:
@@ -87,12 +87,12 @@ class CopyTrie:
             step = key[at : at + width]
             there = node.get(step)
             if there is None:
-                node[step] = leaf = [key, ids]
+                node[step] = leaf = [key, list(ids)]
                 self.leaves.append(leaf)
                 return
             if type(there) is list:
                 if there[0] == key:
-                    there[1] = there[1] + ids
+                    there[1].extend(ids)
                     return
                 node[step] = {there[0][at + width : at + 2 * width]: there}
                 there = node[step]
@@ -105,74 +105,55 @@ class CopyTrie:
 _ENTRY = pa.schema([("key", pa.binary()), ("ids", pa.list_(pa.int64()))])
 
 
-def entries(df: DataFrame, id_col: str = "internal_id", text: str = "text", vocabulary_limit: int = 20_000) -> DataFrame:
+def entries(df: DataFrame, id_col: str = "internal_id", text: str = "text") -> DataFrame:
     """(key, ids): canonical bytes with the ids that have them within one batch."""
     common.ship(df.sparkSession)
-    words = df.sparkSession.sparkContext.broadcast(vocabulary(df, text, vocabulary_limit))
+    known = df.sparkSession.sparkContext.broadcast(confusables(df.sparkSession))
     kept = common.fresh_key()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        to = common.kept(kept, lambda: Keys(words.value))
+        to = common.kept(kept, lambda: Keys(known.value))
         for batch in batches:
             own: dict[bytes, list[int]] = {}
-            for i, t in zip(common.column(batch, "id"), common.column(batch, "text")):
+            for i, t, forms in zip(common.column(batch, "id"), common.column(batch, "text"), common.column(batch, "forms")):
                 if i is not None and is_case(t):
-                    own.setdefault(to.key(t).encode("utf-8", "surrogatepass"), []).append(i)
+                    own.setdefault(to.key(t, pairs_of(forms)).encode("utf-8", "surrogatepass"), []).append(i)
             yield pa.RecordBatch.from_arrays([pa.array(list(own), pa.binary()), pa.array(list(own.values()), pa.list_(pa.int64()))], schema=_ENTRY)
 
     rows = common.rows_of(df, id=F.col(id_col).cast("long"), text=F.col(text)).where("text is not null")
-    return rows.mapInArrow(run, "key binary, ids array<long>")
+    return with_forms(rows, spellings(df, text), F.col("text")).mapInArrow(run, "key binary, ids array<long>")
 
 
-def splits(table: DataFrame, bucket_limit: int, first: int = 8) -> tuple[list[tuple[int, set[bytes]]], set[bytes]]:
-    """The oversized buckets: for each depth in bytes the prefixes to split
-    further, and the prefixes-to-the-end that are one single key.  At most
-    rows / ``bucket_limit`` of them come back a depth."""
-    levels: list[tuple[int, set[bytes]]] = []
-    single: set[bytes] = set()
-    within, depth = table.select("key"), first
+def _prefix(depth: int) -> Column:
+    return F.expr(f"substring(key, 1, {depth})")
+
+
+def splits(table: DataFrame, bucket_limit: int, first: int = 8) -> list[tuple[int, DataFrame]]:
+    """The oversized buckets: for each depth in bytes a table (prefix, single) of
+    the prefixes that hold more ids than ``bucket_limit``, and whether they are
+    one single key, which isn't split further."""
+    levels: list[tuple[int, DataFrame]] = []
+    within, depth = table.select("key", F.size("ids").alias("n")), first
     while True:
-        prefix = F.expr(f"substring(key, 1, {depth})").alias("prefix")
-        big = within.groupBy(prefix).agg(F.count("*").alias("n"), F.min("key").alias("lo"), F.max("key").alias("hi"))
-        big = big.where(F.col("n") > bucket_limit).collect()
-        single |= {bytes(r.lo) for r in big if r.lo == r.hi}
-        split = {bytes(r.prefix) for r in big if r.lo != r.hi}
-        if not split:
-            return levels, single
-        levels.append((depth, split))
-        hot = table.sparkSession.createDataFrame([(bytearray(p),) for p in split], "prefix binary")
-        within = within.join(F.broadcast(hot), F.expr(f"substring(key, 1, {depth}) = prefix"), "left_semi")
+        big = within.groupBy(_prefix(depth).alias("prefix")).agg(F.sum("n").alias("n"), F.min("key").alias("lo"), F.max("key").alias("hi"))
+        big = common.cut(big.where(F.col("n") > bucket_limit).select("prefix", (F.col("lo") == F.col("hi")).alias("single")), "big")
+        if big.isEmpty():
+            return levels
+        levels.append((depth, big))
+        within = within.join(big.where("not single"), _prefix(depth) == F.col("prefix"), "left_semi")
         depth *= 2
 
 
 def _grouped(table: DataFrame, bucket_limit: int, schema: str, emit) -> DataFrame:
     """Runs ``emit(keeper, ids, first)`` over each group; ``first`` is whether
-    these ids are the group's only or first part."""
+    these ids hold the group's smallest."""
     spark = table.sparkSession
-    levels, single = splits(table, bucket_limit)
-    plan = spark.sparkContext.broadcast((levels, single))
-    total = table.count()
+    levels = splits(table, bucket_limit)
     arrow = pa.schema([(f.split()[0], pa.int64()) for f in schema.split(", ")])
 
     def batch_of(rows: list[tuple]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*rows) if rows else [[] for _ in arrow])], schema=arrow)
 
-    def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        levels, single = plan.value
-        for batch in batches:
-            keys = common.column(batch, "key")
-            at = []
-            for key in keys:
-                n = 8
-                for depth, split in levels:
-                    if key[:depth] not in split:
-                        break
-                    n = depth * 2
-                at.append(xxhash.xxh3_64_intdigest(key[:n]) >> 1)
-            keep = pa.array([k not in single for k in keys], pa.bool_())
-            rows = pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), batch.column(0), batch.column(1)], names=["bucket", "key", "ids"])
-            yield rows.filter(keep)
-
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trie, bucket, rows = CopyTrie(), None, []
 
@@ -194,32 +175,35 @@ def _grouped(table: DataFrame, bucket_limit: int, schema: str, emit) -> DataFram
         for k in range(0, len(rows), 10_000):
             yield batch_of(rows[k : k + 10_000])
 
+    rows, bytes_, single = table, F.lit(8), F.lit(False)
+    for depth, big in levels:  # each entry's bucket is the shortest prefix that fits or is one key
+        rows = rows.join(big.select(F.col("prefix").alias(f"p{depth}"), F.col("single").alias(f"s{depth}")), _prefix(depth) == F.col(f"p{depth}"), "left")
+        bytes_ = F.when(F.col(f"s{depth}").isNotNull() & ~F.col(f"s{depth}"), F.lit(2 * depth)).otherwise(bytes_)
+        single = single | F.coalesce(f"s{depth}", F.lit(False))
+    rows = rows.select("key", "ids", F.xxhash64(F.substring("key", F.lit(1), bytes_)).alias("bucket"), single.alias("single"))
+    total = table.agg(F.sum(F.size("ids"))).first()[0] or 0
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1 + 2 * total // bucket_limit)
-    routed = table.mapInArrow(route, "bucket long, key binary, ids array<long>")
-    found = routed.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(count, schema)
-    if single:
-        hot = spark.createDataFrame([(bytearray(k),) for k in single], "key binary")
-        own = table.join(F.broadcast(hot), "key", "left_semi")
-        least = own.groupBy("key").agg(F.min(F.array_min("ids")).alias("keeper"), F.sum(F.size("ids")).alias("copies"))
-        own = own.join(F.broadcast(least), "key")
+    found = rows.where("not single").select("bucket", "key", "ids").repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(count, schema)
+    if levels:
+        own = rows.where("single").select("key", "ids")
+        least = own.groupBy("key").agg(F.min(F.array_min("ids")).alias("keeper"), F.sum(F.size("ids")).alias("copies")).where("copies > 1")
 
         def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for keeper, ids, n in zip(common.column(batch, "keeper"), common.column(batch, "ids"), common.column(batch, "copies")):
-                    if n > 1:
-                        yield batch_of(list(emit(keeper, ids, keeper in ids, n)))
+                    yield batch_of(list(emit(keeper, ids, keeper in ids, n)))
 
-        found = found.unionByName(own.mapInArrow(write, schema))
+        found = found.unionByName(own.join(least, "key").mapInArrow(write, schema))
     return found
 
 
-def members(df: DataFrame, id_col: str = "internal_id", text: str = "text", bucket_limit: int = 50_000, vocabulary_limit: int = 20_000) -> DataFrame:
+def members(df: DataFrame, id_col: str = "internal_id", text: str = "text", bucket_limit: int = 50_000) -> DataFrame:
     """(keeper_id, internal_id): each member of a group but the smallest id."""
-    table = common.cut(entries(df, id_col, text, vocabulary_limit), "copies")
+    table = common.cut(entries(df, id_col, text), "copies")
     return _grouped(table, bucket_limit, "keeper_id long, internal_id long", lambda keeper, ids, first, n=0: [(keeper, i) for i in ids if i != keeper])
 
 
-def copies(df: DataFrame, id_col: str = "internal_id", text: str = "text", bucket_limit: int = 50_000, vocabulary_limit: int = 20_000) -> DataFrame:
+def copies(df: DataFrame, id_col: str = "internal_id", text: str = "text", bucket_limit: int = 50_000) -> DataFrame:
     """(keeper_id, copies): one row for each group of two or more."""
-    table = common.cut(entries(df, id_col, text, vocabulary_limit), "copies")
+    table = common.cut(entries(df, id_col, text), "copies")
     return _grouped(table, bucket_limit, "keeper_id long, copies long", lambda keeper, ids, first, n=0: [(keeper, n or len(ids))] if first else [])

@@ -56,6 +56,10 @@ def p3_canonical(spark: SparkSession, d: str) -> DataFrame:
     return lookalike.canonical_text(_comments(spark, d)).select("internal_id", "canonical_text")
 
 
+def p3_members(spark: SparkSession, d: str) -> DataFrame:
+    return lookalike.lookalike_members(_comments(spark, d))
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return mojibake.garbled(_comments(spark, d)).select("internal_id")
 
@@ -90,6 +94,10 @@ def p6_report(spark: SparkSession, d: str) -> DataFrame:
     return overlap.report(*_p6(spark, d))
 
 
+def p6_pairs(spark: SparkSession, d: str) -> DataFrame:
+    return _p6(spark, d)[1].select("internal_id", "sample_id", F.round("containment", 4).alias("containment"), F.round("gram_containment", 4).alias("gram_containment"))
+
+
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return dedup.members(_comments(spark, d))
 
@@ -129,8 +137,8 @@ def p10_evidence(spark: SparkSession, d: str) -> DataFrame:
 
 
 _ALL = (
-    p1_found, p1_languages, p1_segments, p2_found, p2_masked, p2_patterns, p3_found, p3_canonical, p4_found, p4_restored, p4_sources,
-    p5_found, p5_survivors, p6_found, p6_report, p7_found, p7_copies, p8_ids, p9_mix, p9_shares, p10_found, p10_rates, p10_evidence,
+    p1_found, p1_languages, p1_segments, p2_found, p2_masked, p2_patterns, p3_found, p3_canonical, p3_members, p4_found, p4_restored, p4_sources,
+    p5_found, p5_survivors, p6_found, p6_report, p6_pairs, p7_found, p7_copies, p8_ids, p9_mix, p9_shares, p10_found, p10_rates, p10_evidence,
 )
 
 

@@ -52,3 +52,16 @@ def test_trie():
     for k, key in enumerate([b"", b"a" * 40, b"a" * 41, b"a" * 40, b"a" * 16, b"b", b""]):
         t.add(key, [k])
     assert sorted((k, v) for k, v in t.groups()) == [(b"", [0, 6]), (b"a" * 16, [4]), (b"a" * 40, [1, 3]), (b"a" * 41, [2]), (b"b", [5])]
+
+
+def test_a_key_of_nearly_all_rows(spark):
+    """One key holds nine tenths of the rows: no list of its ids is gathered, and the limit counts ids, not entries."""
+    rows = [(k, "one hot text here") for k in range(9000)] + [(9000 + k, f"one other text {k % 500}") for k in range(1000)]
+    df = spark.createDataFrame(rows, "internal_id long, text string").repartition(3)
+    table = D.entries(df)
+    assert table.where("key = cast('onehottexthere' as binary)").count() < 20  # few entries of many ids
+    levels = D.splits(table, 1000)
+    assert [r.single for _, big in levels for r in big.where("single").collect()] == [True]
+    got = D.members(df, bucket_limit=1000)
+    assert {tuple(r) for r in got.collect()} == brute(rows)
+    assert {r.copies for r in D.copies(df, bucket_limit=1000).collect()} == {9000, 2}

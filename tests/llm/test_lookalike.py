@@ -60,3 +60,25 @@ def test_canonical_column(spark):
     df = spark.createDataFrame([(1, None), (2, ""), (3, " a  b "), (4, "hеy")], "internal_id long, text string").selectExpr("*", "9 as canonical_text")
     got = {r.internal_id: r.canonical_text for r in L.canonical_text(df).collect()}
     assert got == {1: None, 2: "", 3: "a b", 4: "hey"}
+
+
+def test_confusables(spark):
+    table = L.confusables(spark)
+    assert table["օ"] == ("o",) and table["ѵ"] == ("v",) and table["𝐚"] == ("a",) and table["ﬁ"] == ("fi",)
+    assert table["І"] == ("I", "l") and table["Ɩ"][0] == "I" and "é" not in table
+    to = L.Canonicaliser((), table).text
+    assert to("gօօd ѵery 𝐚nd ﬁne") == "good very and fine"
+
+
+def test_the_vocabulary_chooses_between_looks(spark):
+    """A capital that looks like I and l: the trie's word decides, else the table's first choice."""
+    table = {"І": ("I", "l")}
+    assert L.Canonicaliser({"love": 3}, table).word("Іove") == "love"
+    assert L.Canonicaliser({"love": 3, "Iove": 1}, table).word("Іove") == "Iove"  # the first choice before the more frequent
+    assert L.Canonicaliser((), table).word("Іove") == "Iove"
+    rows = [(1, "so much love here"), (2, "so much Іove here"), (3, "so much love there"), (4, "so much Іlove here"), (5, None)]
+    df = spark.createDataFrame(rows, "internal_id long, text string").selectExpr("*", "1 as forms", "2 as _key")
+    assert {tuple(r) for r in L.lookalike_pairs(df).collect()} == {(1, 2)}
+    got = {r.internal_id: r.canonical_text for r in L.canonical_text(df).collect()}
+    assert got == {1: "so much love here", 2: "so much love here", 3: "so much love there", 4: "so much Ilove here", 5: None}
+    assert {tuple(r) for r in L.lookalike_members(df).collect()} == {(1, 1, 1), (2, 1, 2)}
