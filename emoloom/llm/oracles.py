@@ -17,7 +17,7 @@ def _quoted(x: str) -> str:
 
 _CHARS = "'" + "' || '".join(f"' || chr({ord(c)}) || '" if not c.isalnum() else c for c in T.BLANKS) + "'"
 _FROM = " || ".join(f"chr({ord(c)})" for c in T.ENDS + T.OTHERS)
-_TEXTS = f"""SELECT id, source, NOT (coalesce(right(regexp_replace(t, {_quoted(T.CLOSERS)}, ''), 1) IN ('।', '॥', '!', '?', '.'), false) OR regexp_matches(t, {_quoted(T.DECORATED)})) AS open,
+_TEXTS = f"""SELECT id, source, NOT (coalesce(right(regexp_replace(t, {_quoted(T.CLOSERS)}, ''), 1) IN ('।', '॥', '!', '?', '.'), false) OR regexp_matches(t, {_quoted(T.EMOJI + '$|' + T.LINKED)})) AS open,
     list_filter(string_split_regex(replace(replace(translate(lower(t), {_FROM}, '{"¶" * len(T.ENDS)}{" " * len(T.OTHERS)}'), '¶', ' ¶ '), ',', ' , '), ' +'), lambda x: x <> '') AS w
     FROM (SELECT id, source, rtrim(regexp_replace(rtrim(regexp_replace(t, {_quoted(T.CUT_MARK)}, ''), {_CHARS}), {_quoted(T.DOTS)}, ''), {_CHARS}) AS t
         FROM (SELECT doc_id AS id, source, rtrim(text, {_CHARS}) AS t FROM documents WHERE text IS NOT NULL) WHERE t <> '')"""
@@ -32,19 +32,24 @@ _STEPS = {
     "finals": f"""SELECT id, source, open, {_CLASSES}, rtrim(g.c, '�') AS piece, short, whole FROM
         (SELECT id, source, open AND len(w) > 0 AS open, f[len(f) - 2] AS a, f[len(f) - 1] AS b, f[len(f)] AS c, len(w) <= 3 AS short, CASE WHEN open AND len(w) <= 3 THEN array_to_string(w, ' ') END AS whole
             FROM (SELECT *, list_concat(['^', '^', '^'], w) AS f FROM texts)) g {_JOINED}""",
-    **T.SHARED,
-    "cuts": T.CUTS,
+    "wholes": "SELECT whole, count(*) AS copies FROM finals WHERE whole IS NOT NULL GROUP BY whole HAVING count(*) > 1",
+    "asked": "SELECT DISTINCT a, b, c, c = '*' AS new, piece, short, coalesce(copies, 0) AS copies FROM finals f LEFT JOIN wholes h ON f.whole = h.whole WHERE open",
+    "any3": "SELECT a, b, sum(ends) AS ends, sum(inside) AS inside FROM grams GROUP BY a, b",
+    "two": "SELECT b, c, sum(ends) AS ends, sum(inside) AS inside FROM grams GROUP BY b, c",
+    "any2": "SELECT b, sum(ends) AS ends, sum(inside) AS inside FROM grams GROUP BY b",
+    "one": "SELECT c, sum(ends) AS ends, sum(inside) AS inside FROM grams GROUP BY c",
+    "longer3": "SELECT DISTINCT g.a, g.b, left(c, n) AS piece FROM (SELECT a, b, c, unnest(range(1, length(c))) AS n FROM grams WHERE c <> '*') g JOIN (SELECT DISTINCT a, b FROM asked WHERE new) q ON g.a = q.a AND g.b = q.b",
+    "longer2": "SELECT DISTINCT g.b, left(c, n) AS piece FROM (SELECT b, c, unnest(range(1, length(c))) AS n FROM two WHERE c <> '*') g JOIN (SELECT DISTINCT b FROM asked WHERE new) q ON g.b = q.b",
+    "longer1": "SELECT DISTINCT left(k, n) AS piece FROM (SELECT k, unnest(range(1, length(k))) AS n FROM known)",
+    "verdicts": f"""SELECT q.a, q.b, q.c, q.piece, q.short, q.copies, {T.verdict("q.b = '^'")} AS evidence FROM asked q LEFT JOIN grams g ON q.a = g.a AND q.b = g.b AND q.c = g.c
+        LEFT JOIN any3 y ON q.a = y.a AND q.b = y.b LEFT JOIN two t ON q.b = t.b AND q.c = t.c LEFT JOIN any2 z ON q.b = z.b LEFT JOIN one o ON q.c = o.c
+        LEFT JOIN longer3 l3 ON q.a = l3.a AND q.b = l3.b AND q.piece = l3.piece AND q.new LEFT JOIN longer2 l2 ON q.b = l2.b AND q.piece = l2.piece AND q.new LEFT JOIN longer1 l1 ON q.piece = l1.piece AND q.new""",
+    "cuts": """SELECT f.id, f.source, coalesce(v.evidence, 'none') <> 'none' AS cut, coalesce(v.evidence, 'none') AS evidence FROM finals f LEFT JOIN wholes h ON f.whole = h.whole
+        LEFT JOIN verdicts v ON f.open AND f.a = v.a AND f.b = v.b AND f.c = v.c AND f.piece = v.piece AND f.short = v.short AND coalesce(h.copies, 0) = v.copies""",
 }
 
 
-def _filled(sql: str) -> str:
-    more = {"least": T.LEAST, "rare": T.RARE, "left": "left(c, k)", "upto": "unnest(range(0, length(c)))"}
-    for k, v in {**{k: k for k in _STEPS}, **more}.items():
-        sql = sql.replace("{" + k + "}", str(v))
-    return sql
-
-
-_CUTS = "WITH " + ", ".join(f"{k} AS ({_filled(sql)})" for k, sql in _STEPS.items())
+_CUTS = "WITH " + ", ".join(f"{k} AS ({sql})" for k, sql in _STEPS.items()).replace("{least}", str(T.LEAST)).replace("{rare}", str(T.RARE))
 
 
 def oracle_sql() -> dict[str, str]:
