@@ -3,18 +3,23 @@
 Groups are those of ``dedup``.  A row's fields fall into bundles whose parts
 depend on each other and are chosen as a whole: its origin (dataset, split,
 row id), its place (domain), its topic, its labels with the flags that follow
-from the dataset, its text with the language, its thread with the times.  A bundle's trust is made of
-its completeness, the trust in its dataset, how many rows of the group agree
-on it, and how recent it is.  A branch-and-bound search picks the bundles
-with the greatest trust in sum under the functional dependency that the labels
-follow the dataset (what a dataset annotates differs), so labels must come
-from a row of the origin's dataset.
+from the dataset, its text with the language, its thread with the times.  A
+bundle's trust is made of its completeness, the trust in its dataset, the share
+of the group's rows that agree on it, and how recent it is within the group.
+The trust in a dataset is learned: how often its rows agree with what most rows
+of their groups say.
+
+A branch-and-bound search picks the bundles with the greatest trust in sum
+under functional dependencies: the labels follow the dataset (what a dataset
+annotates differs), so they come from a row of the origin's dataset; so does
+the place where that dataset knows one; the topic belongs to a post of the
+place, so it doesn't come from a row of another domain.
 
 Before any group is gathered, only the best candidate for each value that the
-dependency sees is kept, by aggregates combined on the map side: the search
-has at most datasets x bundles candidates, however large the group, and loses
-none that could win.  Ties go to the smaller id.  Null, blank, "nan" and
-"None" are missing values; a group that has no value for a field gets null.
+dependencies see (datasets, domains) is kept, by aggregates combined on the map
+side: the search loses none that could win, however large the group.  Ties go
+to the smaller id.  Null, blank, "nan" and "None" are missing values; a group
+that has no value for a field gets null.
 """
 
 from __future__ import annotations
@@ -27,11 +32,11 @@ from pyspark.sql import Column, DataFrame, functions as F
 from . import common, dedup
 
 LABELS = ("anger", "disgust", "fear", "joy", "sadness", "surprise")
-# Trust in the datasets, spellings of the domains.
-TRUST = {"EmoNoBa": 3, "UBMEC": 2, "MONOVAB": 1}
+# Spellings of the domains.
 DOMAINS = {"youtube": "Youtube", "facebook": "Facebook", "twitter": "Twitter"}
 
-AGREE = 1 << 40  # more rows than agree on all bundles of a group
+# A field filled, a tenth of the dataset's trust, the whole group's agreement, the greatest recency: each outweighs the sum of the next ones over all bundles.
+FILLED, TRUSTED, AGREED, RECENT = 10 << 44, 1 << 44, 1 << 40, 1 << 36
 
 
 def filled(value: Column) -> Column:
@@ -73,10 +78,20 @@ def bundles(df: DataFrame, kinds: tuple[str, ...] = KINDS, text: str = "text") -
     return {k: found for k, columns in own.items() if (found := [c for c in columns if c in df.columns])}
 
 
+def trusts(same: DataFrame) -> DataFrame:
+    """(dataset, trust): in tenths, how many of a dataset's rows say of labels,
+    place and topic what most rows of their group say.  A row a dataset."""
+    some = same.where("kind in ('labels', 'place', 'topic') and complete > 0")
+    votes = some.groupBy("keeper_id", "kind", "value").agg(F.sum("n").alias("n"))
+    top = votes.groupBy("keeper_id", "kind").agg(F.max_by("value", F.struct("n", "value")).alias("top"))
+    both = some.join(top, ["keeper_id", "kind"])
+    return both.groupBy("dataset").agg(F.floor(10 * F.sum(F.when(F.col("value") == F.col("top"), F.col("n")).otherwise(0)) / F.sum("n")).alias("trust"))
+
+
 def candidates(rows: DataFrame, id_col: str = "internal_id", kinds: tuple[str, ...] = KINDS, text: str = "text") -> DataFrame:
-    """(keeper_id, kind, dataset, score, row_id, value): the best candidate of
-    each bundle and dataset of a group; ``value`` is its fields as JSON, times as text."""
-    trust = F.coalesce(F.create_map(*[F.lit(x) for kv in TRUST.items() for x in kv])[F.col("source_dataset")], F.lit(0))
+    """(keeper_id, kind, dataset, domain, rows, score, row_id, value): the best
+    candidate of each bundle, dataset and (of places and topics) domain of a
+    group, and for how many rows it stands; ``value`` is its fields as JSON, times as text."""
     recent = F.coalesce(F.unix_micros("ingested_at"), F.lit(0)) if dict(rows.dtypes).get("ingested_at") == "timestamp" else F.coalesce(F.unix_seconds(F.col("ingested_at").cast("timestamp")), F.lit(0))
     types = dict(rows.dtypes)
 
@@ -88,28 +103,47 @@ def candidates(rows: DataFrame, id_col: str = "internal_id", kinds: tuple[str, .
         return (F.col(c).cast("string") if types[c].startswith("timestamp") else F.col(c)).alias(c)
 
     fields = {kind: [field(c) for c in columns] for kind, columns in bundles(rows, kinds, text).items()}
+    domain = domain_of(F.col("domain")) if "domain" in types else F.lit(None).cast("string")
     parts = []
     for kind, columns in fields.items():
         value = F.to_json(F.struct(*columns))
         complete = sum(c.isNotNull().cast("int") for c in columns)
-        parts.append(F.struct(F.lit(kind).alias("kind"), value.alias("value"), complete.alias("complete")))
-    seen = rows.select("keeper_id", F.col(id_col).alias("row_id"), F.coalesce("source_dataset", F.lit("")).alias("dataset"), trust.alias("trust"), recent.alias("recent"), F.explode(F.array(*parts)).alias("p"))
-    same = seen.groupBy("keeper_id", "p.kind", "dataset", "p.value").agg(
-        F.max("p.complete").alias("complete"), F.max("trust").alias("trust"), F.max("recent").alias("recent"), F.min("row_id").alias("row_id"), F.count("*").alias("n"))
-    # completeness, then trust, then how many rows agree, as one whole number that sums exactly
-    score = (F.col("complete").cast("long") * 10 + F.col("trust")) * AGREE + F.col("n")
-    best = F.max_by(F.struct("score", "row_id", "value"), F.struct("score", "recent", -F.col("row_id")))
-    best = same.withColumn("score", score).groupBy("keeper_id", "kind", "dataset").agg(best.alias("b"))
-    return best.select("keeper_id", "kind", "dataset", "b.score", "b.row_id", "b.value")
-
-
-def search(options: dict[str, list[tuple[int, int, str, str]]]) -> dict[str, tuple[int, int, str, str]]:
+        own = domain if kind in ("place", "topic") else F.lit(None).cast("string")
+        parts.append(F.struct(F.lit(kind).alias("kind"), value.alias("value"), complete.alias("complete"), own.alias("domain")))
+    seen = rows.select("keeper_id", F.col(id_col).alias("row_id"), F.coalesce("source_dataset", F.lit("")).alias("dataset"), recent.alias("recent"), F.explode(F.array(*parts)).alias("p"))
+    same = seen.groupBy("keeper_id", "p.kind", "dataset", "p.domain", "p.value").agg(
+        F.max("p.complete").alias("complete"), F.max("recent").alias("recent"), F.min("row_id").alias("row_id"), F.count("*").alias("n"))
+    same = common.cut(same, "bundles")
+    whole = same.groupBy("keeper_id", "kind").agg(F.sum("n").alias("all"), F.min("recent").alias("oldest"), F.max("recent").alias("newest"))
+    # whole numbers, which sum exactly: the share of rows that agree and the place between the oldest and the newest are rounded down
+    age = F.when(F.col("newest") > F.col("oldest"), (F.col("recent") - F.col("oldest")) / (F.col("newest") - F.col("oldest"))).otherwise(0.0)
+    score = F.col("complete") * F.lit(FILLED) + F.coalesce("trust", F.lit(0)) * F.lit(TRUSTED) + F.floor(F.col("n") * F.lit(float(AGREED)) / F.col("all")) + F.floor(age * F.lit(float(RECENT)))
+    scored = same.join(whole, ["keeper_id", "kind"]).join(trusts(same), "dataset", "left").withColumn("score", score.cast("long"))
+    best = F.max_by(F.struct("score", "row_id", "value"), F.struct("score", -F.col("row_id")))
+    best = scored.groupBy("keeper_id", "kind", "dataset", "domain").agg(best.alias("b"), F.sum("n").alias("rows"))
+    return best.select("keeper_id", "kind", "dataset", "domain", "rows", "b.score", "b.row_id", "b.value")
+
+
+def search(options: dict[str, list[tuple]]) -> dict[str, tuple]:
     """The consistent choice of bundles of the greatest trust.  Options are
-    (score, row id, dataset, value), one list for each kind."""
+    (score, row id, dataset, value) and, of places and topics, the domain, one
+    list for each kind."""
     order = {k: sorted(options.get(k, []), key=lambda o: (-o[0], o[1])) for k in KINDS}
     bound = [sum(order[k][0][0] for k in KINDS[n:] if order[k]) for n in range(len(KINDS) + 1)]
+    placed = {o[2] for o in order["place"] if len(o) > 4 and o[4] is not None}  # datasets that know a domain
     best: tuple[float, list] = (float("-inf"), [])
 
+    def allowed(kind: str, o: tuple, chosen: list) -> bool:
+        origin = chosen[0] if chosen else None
+        if kind == "labels":
+            return origin is None or o[2] == origin[2]
+        if kind == "place" and len(o) > 4:
+            return origin is None or origin[2] not in placed or o[2] == origin[2]
+        if kind == "topic" and len(o) > 4:
+            place = chosen[KINDS.index("place")]
+            return place is None or None in (o[4], place[4]) or o[4] == place[4]
+        return True
+
     def branch(n: int, score: float, chosen: list) -> None:
         nonlocal best
         if score + bound[n] <= best[0]:
@@ -117,11 +151,11 @@ def search(options: dict[str, list[tuple[int, int, str, str]]]) -> dict[str, tup
         if n == len(KINDS):
             best = (score, chosen)
             return
-        for o in order[KINDS[n]]:
-            if KINDS[n] == "labels" and chosen and chosen[0] is not None and o[2] != chosen[0][2]:
-                continue  # the labels follow the origin's dataset
+        kind = KINDS[n]
+        some = [o for o in order[kind] if allowed(kind, o, chosen)]
+        for o in some:
             branch(n + 1, score + o[0], [*chosen, o])
-        if not order[KINDS[n]]:
+        if not order[kind] or (kind == "topic" and not some):  # no topic belongs to the place
             branch(n + 1, score, [*chosen, None])
 
     branch(0, 0.0, [])
@@ -129,23 +163,29 @@ def search(options: dict[str, list[tuple[int, int, str, str]]]) -> dict[str, tup
 
 
 def choices(options: DataFrame) -> DataFrame:
-    """(keeper_id, origin, labels, place, topic, text, thread): the chosen bundles as JSON."""
-    option = F.struct("kind", "score", "row_id", "dataset", "value")
+    """(keeper_id, copies, lacking, domains, origin, labels, place, topic, text,
+    thread): the chosen bundles as JSON; how many rows the group has, how many
+    of them lack a domain, and how many domains the others name."""
+    option = F.struct("kind", "score", "row_id", "dataset", "value", "domain", "rows")
     groups = options.groupBy("keeper_id").agg(F.collect_list(option).alias("options"))
-    schema = pa.schema([("keeper_id", pa.int64()), *((k, pa.string()) for k in KINDS)])
+    schema = pa.schema([("keeper_id", pa.int64()), ("copies", pa.int64()), ("lacking", pa.int64()), ("domains", pa.int64()), *((k, pa.string()) for k in KINDS)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
             for keeper, own in zip(common.column(batch, "keeper_id"), common.column(batch, "options")):
                 by: dict[str, list] = {}
+                rows: dict[str, int] = {}
                 for o in own:
-                    by.setdefault(o["kind"], []).append((o["score"], o["row_id"], o["dataset"], o["value"]))
+                    by.setdefault(o["kind"], []).append((o["score"], o["row_id"], o["dataset"], o["value"], o["domain"]))
+                    rows[o["kind"]] = rows.get(o["kind"], 0) + o["rows"]
+                lacking = sum(o["rows"] for o in own if o["kind"] == "place" and o["domain"] is None)
+                domains = len({o["domain"] for o in own if o["kind"] == "place"} - {None})
                 won = search(by)
-                out.append((keeper, *(won[k][3] if k in won else None for k in KINDS)))
+                out.append((keeper, max(rows.values()), lacking, domains, *(won[k][3] if k in won else None for k in KINDS)))
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], f.type) for k, f in enumerate(schema)], schema=schema)
 
-    return groups.mapInArrow(run, "keeper_id long, " + ", ".join(f"{k} string" for k in KINDS))
+    return groups.mapInArrow(run, "keeper_id long, copies long, lacking long, domains long, " + ", ".join(f"{k} string" for k in KINDS))
 
 
 def survivors(df: DataFrame, id_col: str = "internal_id", text: str = "text", kinds: tuple[str, ...] = KINDS, **kw) -> DataFrame:
@@ -156,10 +196,7 @@ def survivors(df: DataFrame, id_col: str = "internal_id", text: str = "text", ki
     keep = dict.fromkeys([id_col, "source_dataset", "domain", "ingested_at", *(c for columns in own.values() for c in columns)])
     groups = grouped(df, id_col, text, **kw)
     rows = common.cut(groups.select("keeper_id", *keep), "groups")
-    chosen = choices(candidates(rows, id_col, kinds, text))
-    lacking = domain_of(F.col("domain"))
-    known = rows.groupBy("keeper_id").agg(F.count("*").alias("copies"), F.count(F.when(lacking.isNull(), 1)).alias("lacking"), F.count_distinct(F.lower(lacking)).alias("domains"))
-    out = chosen.join(known, "keeper_id")
+    out = choices(candidates(rows, id_col, kinds, text))
     for kind, columns in own.items():
         ddl = ", ".join(f"`{c}` {'string' if types[c].startswith('timestamp') else types[c]}" for c in columns)
         out = out.withColumn(f"_{kind}", F.from_json(kind, ddl))
@@ -169,6 +206,6 @@ def survivors(df: DataFrame, id_col: str = "internal_id", text: str = "text", ki
 
 def completed_domains(df: DataFrame, id_col: str = "internal_id", text: str = "text", **kw) -> DataFrame:
     """(internal_id, domain): groups in which a row lacks the domain and all others
-    agree on one.  The place depends on no other bundle, so it alone is chosen."""
-    found = survivors(df, id_col, text, ("place",), **kw).where("lacking > 0 and domains = 1 and domain is not null")
+    agree on one, with the domain of the place that the search chose."""
+    found = survivors(df, id_col, text, ("origin", "labels", "place"), **kw).where("lacking > 0 and domains = 1 and domain is not null")
     return found.select(F.col("keeper_id").alias("internal_id"), "domain")

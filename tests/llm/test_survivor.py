@@ -63,3 +63,22 @@ def test_all_columns_survive(spark):
     assert set(df.columns) - {"internal_id"} <= set(r.asDict())
     assert (r.text, r.lang, r.thread_key, r.emonoba_disgust_assumption, r.f5_eligible, r.source_dataset) == ("aa bb cc dd!", "bn", "t1", True, False, "EmoNoBa")
     assert r.commented_at == r.ingested_at == datetime.datetime(2024, 1, 1, 10, 0, 0, 123456)
+
+
+def test_dependencies_across_bundles():
+    """Place and topic follow the origin's dataset and the domain, though others score higher."""
+    options = {
+        "origin": [(90, 1, "A", "a"), (10, 2, "B", "b")], "labels": [(50, 1, "A", "a"), (60, 2, "B", "b")],
+        "place": [(5, 1, "A", "fb", "Facebook"), (9, 2, "B", "yt", "Youtube")], "topic": [(7, 2, "B", "music", "Youtube"), (6, 3, "B", "news", "Facebook"), (1, 1, "A", "none", None)],
+    }
+    got = {k: o[3] for k, o in S.search(options).items()}
+    assert got == {"origin": "a", "labels": "a", "place": "fb", "topic": "news"}
+    options["place"] = [(0, 1, "A", "null", None), (9, 2, "B", "yt", "Youtube")]  # the origin's dataset knows none: another's may serve
+    got = {k: o[3] for k, o in S.search(options).items()}
+    assert got["place"] == "yt" and got["topic"] == "music"
+
+
+def test_trust_is_learned(spark):
+    rows = [(g, "labels", d, v, 1, n) for g in range(20) for d, v, n in (("A", "x", 3), ("B", "x", 1), ("C", "y" if g < 15 else "x", 1))]
+    same = spark.createDataFrame(rows, "keeper_id long, kind string, dataset string, value string, complete int, n long")
+    assert {r.dataset: r.trust for r in S.trusts(same).collect()} == {"A": 10, "B": 10, "C": 2}
