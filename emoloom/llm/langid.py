@@ -80,9 +80,11 @@ class Models:
 
     WEIGHT = 30.0  # of the letter model against a count
 
-    def __init__(self, counts: dict[str, Counter]):
+    def __init__(self, counts: dict[str, Counter], texts: Counter | None = None):
         self.words = [counts.get(k, Counter()) for k in LANGUAGES]
         self.totals = [sum(c.values()) for c in self.words]
+        # without a word to read, the mixture's likelihood is the same everywhere: the most written language of a script that isn't Latin
+        self.unread = max((k for k, name in enumerate(LANGUAGES) if SCRIPT[name] != 2), key=lambda k: (texts or {}).get(LANGUAGES[k], 0))
         self.three, self.two, self.one = [], [], []
         for c in self.words:
             three, two, one = Counter(), Counter(), Counter()
@@ -234,12 +236,14 @@ def fit(rows: list[tuple[str, str]]) -> Models:
         counts[k] = Counter({w: n for w, n in counts[k].items() if fits(w)})
     models = Models(counts)
     clean: dict[str, Counter] = {k: Counter() for k in LANGUAGES}
+    written: Counter = Counter()
     for _, words in texts:
         if words:
             scores = models.scores(words)
             for k, a, b in models.read(scores)[1]:
+                written[LANGUAGES[k]] += 1
                 clean[LANGUAGES[k]].update(w for w, s in zip(words[a:b], scores[a:b]) if s[k] > -CLIP)
-    return Models(clean)
+    return Models(clean, written)
 
 
 def fitted(df: DataFrame, id_col: str, text: str, label: str, training_rows: int) -> Models:
@@ -282,10 +286,11 @@ def languages(df: DataFrame, id_col: str = "internal_id", text: str = "text", la
             shown, parts = [], []
             for found, (_, marked), x in zip(model.read_all(words), texts, labels):
                 if found is None:
-                    # Of a garbled text without a readable word only the script is known: it isn't Latin.
+                    # Of a garbled text without a readable word only the script is known: it isn't Latin, so a Latin label is wrong.
                     guess = marked and named[x] in (None, "en", "bn-Latn", "other")
-                    shown.append([{"lang": "bn", "confidence": 0.0}] if guess else [])
-                    parts.append([{"lang": "bn", "words": 0, "confidence": 0.0}] if guess else [])
+                    lang = LANGUAGES[model.unread]
+                    shown.append([{"lang": lang, "confidence": 0.0}] if guess else [])
+                    parts.append([{"lang": lang, "words": 0, "confidence": 0.0}] if guess else [])
                     continue
                 sure, segments, scores = found
                 shown.append([{"lang": LANGUAGES[k], "confidence": c} for k, c in sure])
