@@ -13,7 +13,7 @@ from pyspark.ml.feature import MaxAbsScaler, VectorAssembler, VectorSlicer
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions import features as X, text as T
-from .tfidf import TfIdf, vectors
+from .tfidf import TfIdf
 
 #: The blocks, in the order of their columns.
 BLOCKS = ("tfidf", "emoji", "sentiment", "expressive", "negation")
@@ -29,12 +29,14 @@ EXPERIMENTS = {
 }
 
 
-def emoji_vocabulary(df: DataFrame, raw: str, least: int = 10, limit: int = 5000) -> list[str]:
-    """Emoji that occur in ``least`` training texts or more, by code point.
-
-    There are fewer than 5,000 emoji in Unicode, which bounds the list."""
+def emoji_vocabulary(df: DataFrame, raw: str, least: int = 10, most: int = 100_000) -> list[str]:
+    """Emoji that occur in ``least`` training texts or more, by code point; each
+    is a column, so more than ``most`` are refused rather than left out."""
     found = df.select(F.explode(F.array_distinct(X.emoji_list(F.col(raw)))).alias("e")).groupBy("e").count()
-    return sorted(r.e for r in found.where(F.col("count") >= least).orderBy("e").limit(limit).collect())
+    rows = found.where(F.col("count") >= least).select("e").limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"more than {most} emoji occur in {least} texts or more: raise least")
+    return sorted(r.e for r in rows)
 
 
 @dataclass
@@ -105,15 +107,13 @@ class Extractor:
         if not getattr(self, "fitted", False):
             raise RuntimeError("fit before transform")
         dense = [b for b in self.blocks if b != "tfidf"]
-        rows = self._vectors(self._blocks(df, raw, clean), dense)
+        rows = self._blocks(df, raw, clean)
+        if "tfidf" in self.blocks:  # the terms' vector is made in the row, which goes through as it is
+            rows = self.tfidf.vectors(rows, clean, "_v_tfidf")
+        rows = self._vectors(rows, dense)
         inputs = []
         for block in self.blocks:
             if block == "tfidf":
-                values = self.tfidf.transform(df, doc, clean)
-                width = self.tfidf.shape()[1]
-                packed = vectors(values, width).withColumnsRenamed({"doc": "_doc", "features": "_v_tfidf"})
-                rows = rows.join(packed, F.col(doc) == F.col("_doc"), "left").drop("_doc")
-                rows = rows.withColumn("_v_tfidf", F.coalesce("_v_tfidf", zeros(width)))
                 inputs.append("_v_tfidf")
             elif block in self.scalers:
                 rows = self.scalers[block].transform(rows)
@@ -133,12 +133,6 @@ class Extractor:
         return out
 
 
-def zeros(width: int) -> F.Column:
-    from pyspark.ml.linalg import SparseVector, VectorUDT
-
-    return F.udf(lambda: SparseVector(width, {}), VectorUDT())()
-
-
 def extractor(name: str, **settings) -> Extractor:
     """A named experiment's extractor; ValueError on an unknown name."""
     if name not in EXPERIMENTS:

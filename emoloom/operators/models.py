@@ -22,11 +22,9 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from ..schema import LABELS
 
 
-def packed(df: DataFrame, rows: int = 20_000) -> DataFrame:
-    """``df`` kept in memory in partitions of about ``rows``: a solver runs a job
-    an iteration, whose cost on few rows is that of its tasks."""
-    kept = df.persist()
-    return kept.coalesce(max(1, -(-kept.count() // rows))).persist()
+def packed(df: DataFrame) -> DataFrame:
+    """``df`` kept in memory, in the partitions it has: a solver reads it once an iteration."""
+    return df.persist()
 
 
 def balanced(label: str, positives: int, n: int) -> Column:
@@ -184,6 +182,7 @@ class CalibratedSvc:
         return svc.transform(df).withColumn("_margin", vector_to_array("_raw")[1]).drop("_raw", "_p")
 
     def predict_proba(self, df: DataFrame, features: str, out: str) -> DataFrame:
+        """Adds ``out``, the mean of the folds' probabilities."""
         total, rows = F.lit(0.0), df
         for k, (svc, a, b) in enumerate(self.pairs):
             rows = self._margin(svc, rows, features).withColumnRenamed("_margin", f"_m{k}")
@@ -193,50 +192,113 @@ class CalibratedSvc:
 
 @dataclass
 class ModifiedHuber:
-    """A linear model under the modified Huber loss, balanced, by full gradient
-    steps: each step is one aggregate over all rows (stochastic
-    steps have no counterpart that gives the same numbers)."""
+    """A chain of linear models under the modified Huber loss, balanced, by full
+    gradient steps (stochastic steps have no counterpart that gives the same
+    numbers).  In training a link sees the true labels of those before it, so
+    all links take a step in one pass over the rows: an aggregate of one sparse
+    gradient a link.  The coefficients are broadcast."""
 
-    width: int
+    order: tuple[str, ...] = LABELS
+    chained: bool = True
     steps: int = 30
     rate: float = 1.0
     alpha: float = 1e-4
-    coefficients: list = field(default_factory=list)
-    intercept: float = 0.0
+    coefficients: list = field(default_factory=list)  # a row a link: the features', then the labels before it
+    intercepts: list = field(default_factory=list)
 
-    def fit(self, df: DataFrame, label: str, features: str) -> ModifiedHuber:
+    def fit(self, df: DataFrame, features: str = "features") -> ModifiedHuber:
         import numpy as np
-        import pandas as pd
+        import pyarrow as pa
 
-        stats = df.agg(F.sum(label).alias("p"), F.count("*").alias("n")).first()
-        rows = df.select(vector_to_array(features).alias("x"), (2 * F.col(label) - 1).cast("double").alias("y"), balanced(label, stats.p or 0, stats.n).alias("w")).persist()
-        w, b = np.zeros(self.width), 0.0
+        n_links, chained, sparse = len(self.order), self.chained, _sparse()
+        stats = df.agg(F.count("*").alias("n"), *(F.sum(c).alias(c) for c in self.order)).first()
+        width = df.select(features).first()[0].size
+        rows = df.select(F.col(features).alias("x"), F.array(*(F.col(c).cast("double") for c in self.order)).alias("y"), F.array(*(balanced(c, stats[c] or 0, stats.n) for c in self.order)).alias("w")).persist()
+        w, b = np.zeros((n_links, width + n_links)), np.zeros(n_links)
 
         for step in range(self.steps):
-            now, at = w.copy(), b
-
-            def gradient(batches, now=now, at=at):
-                total = np.zeros(len(now) + 1)
-                for pdf in batches:
-                    if len(pdf):
-                        x, y, weight = np.stack(pdf["x"].to_numpy()), pdf["y"].to_numpy(), pdf["w"].to_numpy()
-                        z = y * (x @ now + at)
-                        slope = np.where(z >= 1, 0.0, np.where(z >= -1, -2 * (1 - z), -4.0)) * y * weight
-                        total[:-1] += slope @ x
-                        total[-1] += slope.sum()
-                yield pd.DataFrame({"k": np.arange(len(total)), "g": total})
-
-            parts = rows.mapInPandas(gradient, "k int, g double").groupBy("k").agg(F.sum("g").alias("g")).orderBy("k").toPandas()["g"].to_numpy()
+            now = df.sparkSession.sparkContext.broadcast((w, b))
+
+            def gradient(batches, now=now):
+                w, b = now.value
+                total = np.zeros((n_links, width + n_links + 1))
+                for batch in batches:
+                    n = len(batch)
+                    if not n:
+                        continue
+                    row, at, v = sparse(batch.column(0))
+                    y, weight = (batch.column(k).flatten().to_numpy(zero_copy_only=False).reshape(n, n_links) for k in (1, 2))
+                    for k in range(n_links):
+                        before = y[:, : k if chained else 0]
+                        m = before.shape[1]
+                        sign = 2 * y[:, k] - 1
+                        z = sign * (np.bincount(row, v * w[k, at], n) + before @ w[k, width : width + m] + b[k])
+                        slope = np.where(z >= 1, 0.0, np.where(z >= -1, -2 * (1 - z), -4.0)) * sign * weight[:, k]
+                        total[k, :width] += np.bincount(at, v * slope[row], width)
+                        total[k, width : width + m] += slope @ before
+                        total[k, -1] += slope.sum()
+                k, at = np.nonzero(total)
+                yield pa.RecordBatch.from_arrays([pa.array(k.astype(np.int32)), pa.array(at.astype(np.int32)), pa.array(total[k, at])], names=["k", "at", "g"])
+
+            parts = rows.mapInArrow(gradient, "k int, at int, g double").groupBy("k", "at").agg(F.sum("g").alias("g")).toArrow()
+            total = np.zeros((n_links, width + n_links + 1))
+            total[parts["k"].to_numpy(), parts["at"].to_numpy()] = parts["g"].to_numpy()
             scale = self.rate / (1 + 0.1 * step) / max(stats.n, 1)
-            w, b = w * (1 - self.rate * self.alpha) - scale * parts[:-1], b - scale * parts[-1]
+            w, b = w * (1 - self.rate * self.alpha) - scale * total[:, :-1], b - scale * total[:, -1]
+            now.unpersist()
         rows.unpersist()
-        self.coefficients, self.intercept = w.tolist(), float(b)
+        self.coefficients, self.intercepts = w.tolist(), b.tolist()
         return self
 
-    def predict_proba(self, df: DataFrame, features: str, out: str) -> DataFrame:
-        w = F.array(*map(F.lit, self.coefficients))
-        margin = F.aggregate(F.zip_with(vector_to_array(features), w, lambda a, c: a * c), F.lit(self.intercept), lambda s, v: s + v)
-        return df.withColumn(out, (F.greatest(F.lit(-1.0), F.least(F.lit(1.0), margin)) + 1) / 2)
+    def predict_proba(self, df: DataFrame, features: str = "features", prefix: str = "prob") -> DataFrame:
+        """The other columns of ``df`` with ``<prefix>_<label>``: (margin within
+        -1 and 1, plus 1) / 2; RuntimeError before ``fit``."""
+        import numpy as np
+        import pyarrow as pa
+        from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
+
+        if not self.coefficients:
+            raise RuntimeError("fit before predict_proba")
+        kept = df.sparkSession.sparkContext.broadcast((np.array(self.coefficients), np.array(self.intercepts)))
+        n, chained, sparse = len(self.order), self.chained, _sparse()
+
+        def scored(batches):
+            w, b = kept.value
+            width = w.shape[1] - n
+            for batch in batches:
+                row, at, v = sparse(batch.column(1))
+                p, said = np.zeros((len(batch), n)), np.zeros((len(batch), n))
+                for k in range(n):
+                    z = np.bincount(row, v * w[k, at], len(batch)) + b[k]
+                    if chained:
+                        z = z + said[:, :k] @ w[k, width : width + k]
+                    p[:, k] = (np.clip(z, -1, 1) + 1) / 2
+                    said[:, k] = p[:, k] > 0.5
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(list(p), pa.list_(pa.float64()))], names=["row", "p"])
+
+        rows = df.select(F.struct(*(c for c in df.columns if c != features)).alias("row"), F.col(features).alias("x"))
+        out = rows.mapInArrow(scored, StructType([StructField("row", rows.schema["row"].dataType), StructField("p", ArrayType(DoubleType()))]))
+        return out.select("row.*", *(F.col("p")[k].alias(f"{prefix}_{c}") for k, c in enumerate(self.order)))
+
+
+def _sparse():
+    """A reader of a column of vectors in Arrow: rows, places and values, flat."""
+
+    def read(column):
+        import numpy as np
+
+        kind, lists = column.field("type").to_numpy(zero_copy_only=False), column.field("values")
+        sizes = lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+        values = lists.flatten().to_numpy(zero_copy_only=False)
+        row = np.repeat(np.arange(len(column)), sizes)
+        if (kind == 0).all():
+            at = column.field("indices").flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+        else:  # some rows are dense
+            own = column.field("indices").to_pylist()
+            at = np.concatenate([np.asarray(x, np.int64) if k == 0 else np.arange(n) for x, k, n in zip(own, kind, sizes)])
+        return row, at, values
+
+    return read
 
 
 def nearest(queries: DataFrame, base: DataFrame, key: str, vector: str, k: int = 5, block: int = 4096) -> DataFrame:
@@ -287,22 +349,41 @@ def _nearest_block(queries: DataFrame, base: DataFrame, key: str, vector: str, k
     return rows.mapInPandas(best, "query long, neighbour long, cosine double")
 
 
-def reduced(df: DataFrame, features: str, width: int, out: str = "reduced") -> DataFrame:
-    """The features in the ``width`` leading singular directions (of the matrix as it stands, not centred)."""
-    from pyspark.ml.linalg import DenseMatrix, Vectors, VectorUDT
+def directions(df: DataFrame, features: str, width: int):
+    """The ``width`` leading right singular vectors of the features (as they stand, not centred), a column each."""
     from pyspark.mllib.linalg import Vectors as Old
     from pyspark.mllib.linalg.distributed import RowMatrix
 
-    matrix = RowMatrix(df.select(features).rdd.map(lambda r: Old.fromML(r[0])))
-    v = matrix.computeSVD(width).V
-    table = DenseMatrix(v.numRows, v.numCols, v.toArray().ravel(order="F").tolist()).toArray()
-    kept = df.sparkSession.sparkContext.broadcast(table)
+    return RowMatrix(df.select(features).rdd.map(lambda r: Old.fromML(r[0]))).computeSVD(width).V.toArray()
 
-    @F.udf(returnType=VectorUDT())
-    def project(x):
-        return Vectors.dense(kept.value[x.indices].T @ x.values if hasattr(x, "indices") else x.toArray() @ kept.value)
 
-    return df.withColumn(out, project(features))
+def reduced(df: DataFrame, features: str, table, out: str = "reduced") -> DataFrame:
+    """The other columns of ``df`` with ``out``, the features in the directions of ``table``, as an array."""
+    import numpy as np
+    import pyarrow as pa
+    from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
+
+    kept, sparse = df.sparkSession.sparkContext.broadcast(table), _sparse()
+
+    def project(batches):
+        for batch in batches:
+            row, at, v = sparse(batch.column(1))
+            made = np.zeros((len(batch), kept.value.shape[1]))
+            ends = np.searchsorted(row, np.arange(len(batch) + 1))
+            for k, (a, b) in enumerate(zip(ends, ends[1:])):
+                made[k] = v[a:b] @ kept.value[at[a:b]]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(list(made), pa.list_(pa.float64()))], names=["row", "p"])
+
+    rows = df.select(F.struct(*(c for c in df.columns if c != features)).alias("row"), F.col(features).alias("x"))
+    made = rows.mapInArrow(project, StructType([StructField("row", rows.schema["row"].dataType), StructField("p", ArrayType(DoubleType()))]))
+    return made.select("row.*", F.col("p").alias(out))
+
+
+def neighbour_shares(queries: DataFrame, base: DataFrame, key: str, vector: str, labels: tuple[str, ...] = LABELS, k: int = 5) -> DataFrame:
+    """(query, prob_<label>…): for every query the share of its ``k`` nearest rows of ``base`` that have each label."""
+    near = nearest(queries, base, key, vector, k).select("query", "neighbour")
+    named = near.join(base.select(F.col(key).alias("neighbour"), *labels), "neighbour")
+    return named.groupBy("query").agg(*(F.round(F.avg(F.col(c).cast("double")), 4).alias(f"prob_{c}") for c in labels))
 
 
 # The order that puts the rare labels in the middle.

@@ -212,41 +212,31 @@ def regression_guard(spark, d):
     return metrics.regressions(metrics.per_label(rows), metrics.per_label(thresholds.applied(rows, thresholds.fixed(0.5))))
 
 
-@query(f"SELECT sample_id, {', '.join(f'round(prob_{c}, 6) AS prob_{c}, pred_{c}, true_{c}' for c in LABELS)} FROM {P}")
+@query(f"SELECT sample_id, {', '.join(f'round_even(prob_{c}, 4) AS prob_{c}, pred_{c}, true_{c}' for c in LABELS)} FROM {P}")
 def prediction_output(spark, d):
-    return _pred(spark, d).select("sample_id", *(x for c in LABELS for x in (F.round(f"prob_{c}", 6).alias(f"prob_{c}"), f"pred_{c}", f"true_{c}")))
+    return _pred(spark, d).select("sample_id", *(x for c in LABELS for x in (F.bround(f"prob_{c}", 4).alias(f"prob_{c}"), f"pred_{c}", f"true_{c}")))
 
 
 # -- models ----------------------------------------------------------------------------------
 
-_SMALL = {"word": {"max_features": 300}, "char": {"max_features": 200}}
-
-
 def _vectors(spark, d) -> tuple[DataFrame, DataFrame]:
-    """Training rows with term vectors: fitted rows and those held out, by hash."""
-    rows = spread(read(spark, d, "train").select("sample_id", "processed_text", *LABELS)).persist()
-    held = F.pmod(F.xxhash64("sample_id"), F.lit(5)) == 0
+    """Training rows with vectors of 10,000 word and 15,000 letter terms: fitted rows and those held out, by hash."""
+    rows = spread(read(spark, d, "train").select(F.col("sample_id").alias("doc"), "processed_text", *LABELS)).persist()
+    held = F.pmod(F.xxhash64("doc"), F.lit(5)) == 0
     fit, rest = rows.where(~held), rows.where(held)
-    x = tfidf.TfIdf(**_SMALL).fit(fit, "sample_id", "processed_text")
-    width = x.shape()[1]
-
-    def wide(part: DataFrame) -> DataFrame:
-        packed = tfidf.vectors(x.transform(part, "sample_id", "processed_text"), width)
-        rows = part.select(F.col("sample_id").alias("doc"), *LABELS).join(packed, "doc", "left")
-        return rows.withColumn("features", F.coalesce("features", compose.zeros(width)))  # rows without any term
+    x = tfidf.TfIdf().fit(fit, "doc", "processed_text")
+    return models.packed(x.vectors(fit, "processed_text")), models.packed(x.vectors(rest, "processed_text"))
 
-    return models.packed(wide(fit)), wide(rest)
 
-
-def _probabilities(df: DataFrame) -> DataFrame:
-    return df.select(F.col("doc").alias("sample_id"), *(F.round(f"prob_{c}", 4).alias(f"prob_{c}") for c in LABELS))
+def _probabilities(df: DataFrame, digits: int = 4) -> DataFrame:
+    return df.select(F.col("doc").alias("sample_id"), *(F.round(f"prob_{c}", digits).alias(f"prob_{c}") for c in LABELS))
 
 
 @query()
 def chain_lr(spark, d):
     fit, rest = _vectors(spark, d)
     order = [r.label for r in audit.label_order(fit).orderBy("place").collect()]
-    return _probabilities(models.Chain(models.logistic(max_iter=15), tuple(order)).fit(fit).predict_proba(rest))
+    return _probabilities(models.Chain(models.logistic(), tuple(order)).fit(fit).predict_proba(rest))
 
 
 @query()
@@ -258,35 +248,38 @@ def chain_cnb(spark, d):
 @query()
 def independent_lr(spark, d):
     fit, rest = _vectors(spark, d)
-    return _probabilities(models.Chain(models.logistic(max_iter=15), chained=False).fit(fit).predict_proba(rest))
+    return _probabilities(models.Chain(models.logistic(), chained=False).fit(fit).predict_proba(rest))
 
 
 @query()
 def random_forest(spark, d):
     fit, rest = _vectors(spark, d)
-    return _probabilities(models.Chain(models.forest(trees=10), chained=False).fit(fit).predict_proba(rest))
+    return _probabilities(models.Chain(models.forest(), chained=False).fit(fit).predict_proba(rest))
 
 
 @query()
 def svc_calibrated(spark, d):
     fit, rest = _vectors(spark, d)
-    return models.CalibratedSvc(max_iter=15).fit(fit, "joy", "features").predict_proba(rest, "features", "prob_joy").select(F.col("doc").alias("sample_id"), F.round("prob_joy", 4).alias("prob_joy"))
+    for c in LABELS:
+        rest = models.CalibratedSvc().fit(fit, c, "features").predict_proba(rest, "features", f"prob_{c}")
+    return _probabilities(rest)
 
 
 @query()
 def sgd_modified_huber(spark, d):
     fit, rest = _vectors(spark, d)
-    width = fit.first().features.size
-    return models.ModifiedHuber(width, steps=10).fit(fit, "joy", "features").predict_proba(rest, "features", "prob_joy").select(F.col("doc").alias("sample_id"), F.round("prob_joy", 4).alias("prob_joy"))
+    return _probabilities(models.ModifiedHuber().fit(fit).predict_proba(rest))
 
 
 @query()
-def svd_reduced(spark, d):
-    from pyspark.ml.functions import vector_to_array
-
+def svd_knn(spark, d):
+    """Rows held out, each with the label shares of its five nearest fitted rows in the 200 leading directions."""
     fit, rest = _vectors(spark, d)
-    out = models.reduced(fit, "features", 20)
-    return out.select(F.col("doc").alias("sample_id"), F.size(vector_to_array("reduced")).alias("width"))
+    table = models.directions(fit, "features", 200)
+    key = F.xxhash64("doc").alias("key")
+    base, held = (models.reduced(x, "features", table).select(key, "doc", "reduced", *LABELS).persist() for x in (fit, rest))
+    got = models.neighbour_shares(held, base, "key", "reduced")
+    return held.join(got, F.col("key") == F.col("query")).select(F.col("doc").alias("sample_id"), *(f"prob_{c}" for c in LABELS))
 
 
 @query("""WITH q AS (SELECT vec_id, embedding FROM embeddings WHERE vec_id % 20 = 0), p AS (SELECT q.vec_id AS query, e.vec_id AS neighbour, list_cosine_similarity(q.embedding::DOUBLE[], e.embedding::DOUBLE[]) AS c FROM q JOIN embeddings e ON q.vec_id <> e.vec_id),
@@ -311,7 +304,7 @@ def experiment_runs(spark, d):
     rows = spread(read(spark, d, "train").select("sample_id", "text", "processed_text", *LABELS)).persist()
     part = F.pmod(F.xxhash64("sample_id"), F.lit(10))
     train, val, test = rows.where(part < 7), rows.where((part >= 7) & (part < 9)), rows.where(part == 9)
-    configs = [runner.Config("E0_cnb", "E0", "complement_bayes", settings=_SMALL), runner.Config("E2_lr", "E2", "logistic", chained=False, settings=_SMALL, c=0.5, max_iter=15)]
+    configs = [runner.Config("E0_cnb", "E0", "complement_bayes"), runner.Config("E2_lr", "E2", "logistic", chained=False, c=0.5)]
     return runner.run_all(configs, train, val, test)
 
 

@@ -225,7 +225,7 @@ def scope_coverage(spark, d):
     return rows.agg(F.count_if(F.col("scope_neg") > 0).alias("negated_texts"), F.count_if(F.col("scope_int") > 0).alias("intensified_texts"), F.count_if(F.col("scope_total") > 0).alias("scoped_texts"))
 
 
-_PROFILED = ["expr_exclamation_count", "expr_question_count", "expr_char_count", "expr_word_count", "expr_avg_word_len", "expr_uppercase_ratio", "expr_digit_count", "expr_bangla_char_ratio"]
+_PROFILED = list(_EXPR)
 _WIDE = f"{_T}, f AS (SELECT sample_id, " + ", ".join(f"({_EXPR[k]})::DOUBLE AS {k}" for k in _PROFILED) + " FROM u)"
 
 
@@ -265,50 +265,50 @@ def _weights(limit: int) -> str:
     weighted AS (SELECT doc, idx, term, v / sqrt(sum(v * v) OVER (PARTITION BY doc)) AS value FROM raw)"""
 
 
-def _counts(spark, d, grams) -> DataFrame:
-    return tfidf.terms_of(spread(read(spark, d, "train").select("sample_id", "processed_text")), "sample_id", "processed_text", grams)
+def _texts(spark, d) -> DataFrame:
+    return spread(read(spark, d, "train").select("sample_id", "processed_text"))
+
+
+def _weighed(spark, d, **blocks) -> DataFrame:
+    out = tfidf.TfIdf(**blocks).fit_transform(_texts(spark, d), "sample_id", "processed_text")
+    return out.select("doc", F.col("idx").cast("long").alias("idx"), F.round("value", 6).alias("value"))
 
 
 @query(f"WITH {_WG}, {_weights(10_000)} SELECT doc, idx, round(value, 6) AS value FROM weighted")
 def tfidf_word(spark, d):
-    counts = _counts(spark, d, tfidf.word_ngrams)
-    out = tfidf.weighted(counts, tfidf.vocabulary(counts, 10_000), read(spark, d, "train").count())
-    return out.select("doc", F.col("idx").cast("long").alias("idx"), F.round("value", 6).alias("value"))
+    return _weighed(spark, d, char=None)
 
 
 @query(f"WITH {_CG}, {_weights(15_000)} SELECT doc, idx, round(value, 6) AS value FROM weighted")
 def tfidf_char_wb(spark, d):
-    counts = _counts(spark, d, tfidf.char_ngrams)
-    out = tfidf.weighted(counts, tfidf.vocabulary(counts, 15_000), read(spark, d, "train").count())
-    return out.select("doc", F.col("idx").cast("long").alias("idx"), F.round("value", 6).alias("value"))
+    return _weighed(spark, d, word=None)
 
 
 @query(f"WITH {_WG}, {_weights(10_000)} SELECT term, idx, tf, df FROM vocab")
 def tfidf_vocab(spark, d):
-    return tfidf.vocabulary(_counts(spark, d, tfidf.word_ngrams), 10_000).select("term", F.col("idx").cast("long").alias("idx"), "tf", "df")
+    return tfidf.vocabulary(_texts(spark, d), "sample_id", "processed_text", "word", 10_000).select("term", F.col("idx").cast("long").alias("idx"), "tf", "df")
 
 
 @query(f"WITH {_CG}, {_weights(15_000)} SELECT term, idx, tf, df FROM vocab")
 def tfidf_char_vocab(spark, d):
-    return tfidf.vocabulary(_counts(spark, d, tfidf.char_ngrams), 15_000).select("term", F.col("idx").cast("long").alias("idx"), "tf", "df")
+    return tfidf.vocabulary(_texts(spark, d), "sample_id", "processed_text", "char", 15_000).select("term", F.col("idx").cast("long").alias("idx"), "tf", "df")
 
 
 @query(f"WITH {_WG}, {_weights(10_000)} SELECT term, round(ln((1 + n) / (1 + df)) + 1, 6) AS idf FROM vocab, n")
 def tfidf_idf(spark, d):
-    vocab = tfidf.vocabulary(_counts(spark, d, tfidf.word_ngrams), 10_000)
+    vocab = tfidf.vocabulary(_texts(spark, d), "sample_id", "processed_text", "word", 10_000)
     return vocab.select("term", F.round(tfidf.idf(read(spark, d, "train").count(), F.col("df")), 6).alias("idf"))
 
 
 @query(f"WITH {_WG}, {_COUNTS} SELECT term, tf FROM stats ORDER BY tf DESC, term LIMIT 50")
 def tfidf_top_terms(spark, d):
-    return tfidf.vocabulary(_counts(spark, d, tfidf.word_ngrams), 50).select("term", "tf")
+    return tfidf.vocabulary(_texts(spark, d), "sample_id", "processed_text", "word", 50).select("term", "tf")
 
 
 @query(f"WITH {_WG}, {_weights(10_000)}, z AS (SELECT count(*) AS nnz FROM weighted), w10 AS (SELECT count(*) AS width FROM vocab) SELECT round(1 - nnz / (n * width)::DOUBLE, 6) AS sparsity FROM z, n, w10")
 def tfidf_sparsity(spark, d):
-    counts = _counts(spark, d, tfidf.word_ngrams)
-    vocab, n = tfidf.vocabulary(counts, 10_000), read(spark, d, "train").count()
-    return tfidf.sparsity(tfidf.weighted(counts, vocab, n), n, vocab.count())
+    x = tfidf.TfIdf(char=None).fit(_texts(spark, d), "sample_id", "processed_text")
+    return tfidf.sparsity(x.transform(_texts(spark, d), "sample_id", "processed_text"), *x.shape())
 
 
 @query(f"WITH {_WG}, {_weights(10_000)}, a AS (SELECT doc, idx, value FROM weighted WHERE idx < 100) SELECT doc, idx, round(value, 6) AS value FROM a")
@@ -316,30 +316,54 @@ def tfidf_slice(spark, d):
     return tfidf_word(spark, d).where("idx < 100")
 
 
-@query()
+_BOTH = f"""WITH {_WG}, {_weights(10_000)}, lw AS (SELECT sample_id AS doc, {_WORDS} AS tok FROM train),
+    lterms AS (SELECT doc, unnest(flatten(list_transform(list_transform(tok, lambda t: ' ' || t || ' '), lambda x: {_CW}))) AS term FROM lw),
+    {_weights(15_000).replace("counts", "lcounts").replace("FROM terms", "FROM lterms").replace("stats", "lstats").replace("vocab", "lvocab").replace("raw AS", "lraw AS").replace("FROM raw", "FROM lraw").replace("weighted", "lweighted").replace("n AS (SELECT count(*) AS n FROM train), ", "")},
+    z AS (SELECT count(*) AS width FROM vocab), b AS (SELECT doc, idx, value FROM weighted UNION ALL SELECT doc, idx + width, value FROM lweighted, z)"""
+
+
+@query(f"{_BOTH} SELECT doc, idx, round(value, 6) AS value FROM b")
 def tfidf_fused(spark, d):
     """Word and letter terms side by side, as one estimator gives them."""
-    rows = spread(read(spark, d, "train").select("sample_id", "processed_text"))
-    return tfidf.TfIdf().fit_transform(rows, "sample_id", "processed_text").select("doc", "idx", F.round("value", 6).alias("value"))
+    return _weighed(spark, d)
 
 
-@query()
-def features_e8(spark, d):
-    """Term, emoji, sentiment and negation features of all training rows in one vector."""
+@query(f"{_BOTH}, m AS (SELECT max(width) AS width FROM z) SELECT doc, idx, round(value, 6) AS value FROM b, m WHERE idx >= width AND idx < width + 100")
+def tfidf_char_slice(spark, d):
+    """The first hundred letter columns of the whole vector, taken by a slicer."""
     from pyspark.ml.functions import vector_to_array
 
+    x = tfidf.TfIdf().fit(_texts(spark, d), "sample_id", "processed_text")
+    start, end = x.offsets()[1:]
+    part = compose.columns_of(x.vectors(_texts(spark, d), "processed_text"), range(start, min(start + 100, end)))
+    cells = part.select(F.col("sample_id").alias("doc"), F.posexplode(vector_to_array("part")).alias("k", "value")).where("value <> 0")
+    return cells.select("doc", (F.col("k") + start).cast("long").alias("idx"), F.round("value", 6).alias("value"))
+
+
+def _composed(spark, d, name: str) -> tuple[DataFrame, int]:
+    """All training rows with a composed extractor's vectors at full size, and where the columns behind the terms start."""
     rows = spread(read(spark, d, "train").select("sample_id", "text", "processed_text"))
-    x = compose.extractor("E8", word={"max_features": 2000}, char={"max_features": 3000}).fit(rows, "sample_id", "text", "processed_text")
-    v = vector_to_array("features")
-    out = x.transform(rows, "sample_id", "text", "processed_text")
-    return out.select("sample_id", F.size(v).alias("width"), F.size(F.filter(v, lambda y: y != 0)).alias("nonzero"))
+    x = compose.extractor(name).fit(rows, "sample_id", "text", "processed_text")
+    return x.transform(rows, "sample_id", "text", "processed_text"), x.tfidf.shape()[1]
 
 
-@query()
-def features_champion(spark, d):
+def _cells(spark, d, name: str) -> DataFrame:
+    """(sample_id, width, terms, nonzero, dense): the vector's width, how many terms it has, its other columns as they are."""
     from pyspark.ml.functions import vector_to_array
 
-    rows = spread(read(spark, d, "train").select("sample_id", "text", "processed_text"))
-    x = compose.extractor("champion", word={"max_features": 2000}, char={"max_features": 3000}).fit(rows, "sample_id", "text", "processed_text")
+    rows, start = _composed(spark, d, name)
     v = vector_to_array("features")
-    return x.transform(rows, "sample_id", "text", "processed_text").select("sample_id", F.size(v).alias("width"), F.round(F.aggregate(v, F.lit(0.0), lambda a, y: a + y), 4).alias("total"))
+    dense = F.transform(F.slice(v, start + 1, F.size(v) - start), lambda y: F.round(y, 4))
+    nonzero = F.size(F.filter(F.slice(v, 1, start), lambda y: y != 0))
+    return rows.select("sample_id", F.size(v).alias("width"), nonzero.alias("terms"), F.array_join(F.transform(dense, lambda y: y.cast("string")), " ").alias("dense"))
+
+
+@query()
+def features_e8(spark, d):
+    """Term, emoji, sentiment and negation features of all training rows in one vector of 25,000 term columns and more."""
+    return _cells(spark, d, "E8")
+
+
+@query()
+def features_champion(spark, d):
+    return _cells(spark, d, "champion")
