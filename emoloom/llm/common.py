@@ -42,18 +42,19 @@ def ship(spark: SparkSession) -> None:
     _SHIPPED.add(sc.applicationId)
 
 
-_OWN: dict[str, str] = {}
-
-
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or one of our own
-    where the session sets none (tests)."""
+    """The folder all executors share, spark.checkpoint.dir; on one machine a
+    temporary one where it is unset (tests)."""
     sc = spark.sparkContext
     folder = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
-    if not folder:
-        folder = _OWN.setdefault(sc.applicationId, "") or tempfile.mkdtemp(prefix="emoloom-")
-        _OWN[sc.applicationId] = folder
-    return folder
+    if folder:
+        return folder
+    if not sc.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+    return _OWN.setdefault(sc.applicationId, tempfile.mkdtemp(prefix="emoloom-") if sc.applicationId not in _OWN else "")
+
+
+_OWN: dict[str, str] = {}
 
 
 def cut(df: DataFrame, what: str = "stage") -> DataFrame:
