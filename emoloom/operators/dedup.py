@@ -71,8 +71,16 @@ def groups(rows: DataFrame) -> DataFrame:
     return out.withColumn("action", F.when(F.col("is_conflicting"), "RETAINED_UNRESOLVED").otherwise("COLLAPSED")).drop("_key")
 
 
+def conflict_members(rows: DataFrame, id_col: str = "internal_id") -> DataFrame:
+    """The rows of conflicting groups, one row each, with the group's size: nothing is gathered."""
+    some = rows.where("group_size > 1 and n_label_vectors > 1")
+    return some.select("group_id", F.col("group_size").cast("long").alias("n_rows"), F.col(id_col).alias("internal_id"), "source_dataset", F.col("_vector").alias("label_vector"))
+
+
 def conflicts(rows: DataFrame, id_col: str = "internal_id") -> DataFrame:
-    """One row for each conflicting group, its members' values joined by "|" in order of their id."""
+    """A report: one row for each conflicting group, its members' values joined by
+    "|" in order of their id.  A line holds a whole group; where one may be
+    large, ``conflict_members`` gives the same as rows."""
     some = rows.where("group_size > 1 and n_label_vectors > 1")
     members = F.array_sort(F.collect_list(F.struct(F.col(id_col).alias("i"), F.col("source_dataset").alias("s"), F.col("_vector").alias("v"))))
     out = some.groupBy("group_id", "_key").agg(F.count("*").alias("n_rows"), members.alias("m"))

@@ -3,7 +3,7 @@
 A table has ``features`` (a vector) and one 0/1 column a label.  A chain fits
 a link a label, each link seeing the features and the labels of the links
 before it: their true values in training, their decisions at 0.5 afterwards.
-The loop over links runs on the driver; each fit is a distributed job.
+Links are fitted side by side; each fit is a series of distributed jobs.
 """
 
 from __future__ import annotations
@@ -11,6 +11,7 @@ from __future__ import annotations
 import json
 import random
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
 from pyspark.ml import Model
@@ -22,9 +23,19 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from ..schema import LABELS
 
 
-def packed(df: DataFrame) -> DataFrame:
-    """``df`` kept in memory, in the partitions it has: a solver reads it once an iteration."""
-    return df.persist()
+def packed(df: DataFrame, part_bytes: int = 32 << 20) -> DataFrame:
+    """``df`` kept in memory in partitions of about ``part_bytes``: a solver
+    runs a job an iteration, whose tasks should have more to do than to start."""
+    kept = df.persist()
+    kept.count()
+    size = int(str(kept.select("*")._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return kept.coalesce(max(1, -(-size // part_bytes))).persist()
+
+
+def at_once(make: Callable, items) -> list:
+    """``make`` of every item, the jobs of all running side by side."""
+    with ThreadPoolExecutor(max(1, len(items))) as pool:
+        return list(pool.map(make, items))
 
 
 def balanced(label: str, positives: int, n: int) -> Column:
@@ -107,12 +118,17 @@ class Chain:
         return VectorAssembler(inputCols=["features", *(f"_y_{c}" for c in before)], outputCol="_x")
 
     def fit(self, df: DataFrame) -> Chain:
-        self.links = []
+        """The links see the true labels before them, so all are fitted at once."""
         rows = df.withColumns({f"_y_{c}": F.col(c).cast("double") for c in self.order})
-        for k, label in enumerate(self.order):
-            x = self._inputs(k).transform(rows)
-            seen = rows.agg(F.min(label), F.max(label)).first()
-            self.links.append(Constant(float(seen[0])) if seen[0] == seen[1] else self.fit_one(x, label, "_x"))
+        seen = rows.agg(*(f(c).alias(f"{n}_{c}") for c in self.order for n, f in (("lo", F.min), ("hi", F.max)))).first()
+
+        def one(k: int):
+            label = self.order[k]
+            if seen[f"lo_{label}"] == seen[f"hi_{label}"]:
+                return Constant(float(seen[f"lo_{label}"]))
+            return self.fit_one(self._inputs(k).transform(rows), label, "_x")
+
+        self.links = at_once(one, range(len(self.order)))
         return self
 
     def predict_proba(self, df: DataFrame, prefix: str = "prob") -> DataFrame:

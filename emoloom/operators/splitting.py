@@ -21,15 +21,19 @@ def stratified_split(df: DataFrame, key: str, labels: tuple[str, ...] = LABELS,
     """Adds ``split``: within each combination of labels (null as 0) the shares hold to a row.
 
     An iterative stratifier would depend on a random state; this keeps its aim, the
-    same label shares in all parts, and is the same every time.  Combinations
+    same label shares in all parts, and is the same every time.  Each combination
+    rounds its parts' ends by an offset of its own, between 0 and 1 by hash, so
+    those of one or a few rows come to every part by its share.  Combinations
     are many and each is ranked apart; the hot one is salted: ranks are counted
     within 4,096 hash ranges and put together."""
     combination = F.concat_ws("", *(F.coalesce(F.col(c).cast("string"), F.lit("0")) for c in labels))
-    return _salted(df.withColumn("_c", combination), key, "_c", parts, seed).drop("_c")
+    offset = F.conv(F.substring(hash_key(F.col("_c"), seed), 1, 4), 16, 10).cast("double") / 65536
+    return _salted(df.withColumn("_c", combination), key, "_c", parts, seed, offset).drop("_c")
 
 
-def _salted(df: DataFrame, key: str, stratum: str, parts, seed: int) -> DataFrame:
-    """``_placed`` for strata of any size: no window holds more than about a 4,096th of one."""
+def _salted(df: DataFrame, key: str, stratum: str, parts, seed: int, offset: Column | None = None) -> DataFrame:
+    """The split for strata of any size: no window holds more than about a 4,096th
+    of one.  ``offset`` is what a part's end is rounded by, a half if None."""
     rows = df.withColumn("_h", hash_key(key, seed)).withColumn("_s", F.substring("_h", 1, 3))
     counts = rows.groupBy(stratum, "_s").agg(F.count("*").alias("_m"))
     before = F.coalesce(F.sum("_m").over(Window.partitionBy(stratum).orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
@@ -42,7 +46,7 @@ def _salted(df: DataFrame, key: str, stratum: str, parts, seed: int) -> DataFram
         at += share
         cuts.append((name, round(at, 6)))
     for name, cut in reversed(cuts):
-        out = F.when(F.col("_r") <= F.floor(F.col("_n") * cut + 0.5), name).otherwise(out)
+        out = F.when(F.col("_r") <= F.floor(F.col("_n") * cut + (0.5 if offset is None else offset)), name).otherwise(out)
     return ranked.withColumn("split", out).drop("_h", "_s", "_before", "_n", "_i", "_r")
 
 

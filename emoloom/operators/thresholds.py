@@ -15,22 +15,23 @@ from .metrics import long_form, ratio
 LOW, HIGH = 0.05, 0.955
 
 
-def grid(step: float = 0.01, digits: int = 4) -> list[float]:
-    """Thresholds from 0.05 on, below 0.955."""
+def grid(step: float = 0.01, digits: int | None = 4) -> list[float]:
+    """Thresholds from 0.05 on, below 0.955; with ``digits`` None not rounded."""
     out, k = [], 0
     while (t := LOW + k * step) < HIGH - 1e-12:
-        out.append(round(t, digits))
+        out.append(t if digits is None else round(t, digits))
         k += 1
     return out
 
 
-def curve(df: DataFrame, step: float = 0.01, labels: tuple[str, ...] = LABELS, digits: int = 4) -> DataFrame:
-    """(label, tau, tp, fp, fn, f1) for every threshold of the grid."""
+def curve(df: DataFrame, step: float = 0.01, labels: tuple[str, ...] = LABELS, digits: int = 4, rounded: bool = True) -> DataFrame:
+    """(label, tau, tp, fp, fn, f1) for every threshold of the grid.  With
+    ``rounded`` False probabilities are compared before thresholds are rounded."""
     taus = grid(step, digits)
     spark = df.sparkSession
     # The bucket is found by arithmetic and set right by one comparison with the grid's own numbers.
     guess = F.floor((F.col("prob") - LOW) / step).cast("int")
-    marks = F.array(*map(F.lit, taus))
+    marks = F.array(*map(F.lit, taus if rounded else grid(step, None)))
 
     def at(k: Column) -> Column:
         return F.element_at(marks, F.greatest(F.least(k, F.lit(len(taus) - 1)), F.lit(0)) + 1)
@@ -61,8 +62,8 @@ def optimised(df: DataFrame, labels: tuple[str, ...] = LABELS) -> DataFrame:
 
 
 def swept(df: DataFrame, step: float = 0.001, labels: tuple[str, ...] = LABELS) -> DataFrame:
-    """The fine sweep: 0.5 where nothing is ever right."""
-    return best(curve(df, step, labels), 0.5)
+    """The fine sweep, of thresholds that are rounded afterwards: 0.5 where nothing is ever right."""
+    return best(curve(df, step, labels, rounded=False), 0.5)
 
 
 def applied(df: DataFrame, taus: dict[str, float], labels: tuple[str, ...] = LABELS) -> DataFrame:

@@ -100,6 +100,11 @@ def conflict_groups(spark, d):
     return dedup.conflicts(_annotated(spark, d))
 
 
+@query(f"WITH {_ANNOTATED} SELECT group_id, group_size::BIGINT AS n_rows, internal_id, source_dataset, v AS label_vector FROM annotated WHERE group_size > 1 AND n_label_vectors > 1")
+def conflict_members(spark, d):
+    return dedup.conflict_members(_annotated(spark, d))
+
+
 @query(f"""WITH {_ANNOTATED}, bad AS (SELECT * FROM annotated WHERE group_size > 1 AND n_label_vectors > 1)
     SELECT internal_id FROM keyed WHERE NOT EXISTS (SELECT 1 FROM bad WHERE bad.source_dataset = keyed.source_dataset AND bad.source_row_id = keyed.source_row_id) AND k NOT IN (SELECT k FROM bad)""")
 def conflict_drop(spark, d):
@@ -456,8 +461,9 @@ _COMB = " || ".join(f"coalesce({c}::VARCHAR, '0')" for c in LABELS)
 
 def _sql_split(stratum: str, key: str = "internal_id", table: str = H) -> str:
     part = f"PARTITION BY {stratum}" if stratum else ""
-    return f"""WITH r AS (SELECT {key}, count(*) OVER ({part}) AS n, row_number() OVER ({part} ORDER BY md5({key}::VARCHAR || ':42'), {key}) AS r FROM {table})
-        SELECT {key}, CASE WHEN r <= floor(n * 0.7::DOUBLE + 0.5) THEN 'train' WHEN r <= floor(n * 0.85::DOUBLE + 0.5) THEN 'val' ELSE 'test' END AS split FROM r"""
+    offset = f"('0x' || substr(md5(({stratum}) || ':42'), 1, 4))::BIGINT / 65536::DOUBLE" if stratum else "0.5"
+    return f"""WITH r AS (SELECT {key}, count(*) OVER ({part}) AS n, row_number() OVER ({part} ORDER BY md5({key}::VARCHAR || ':42'), {key}) AS r, {offset} AS u FROM {table})
+        SELECT {key}, CASE WHEN r <= floor(n * 0.7::DOUBLE + u) THEN 'train' WHEN r <= floor(n * 0.85::DOUBLE + u) THEN 'val' ELSE 'test' END AS split FROM r"""
 
 
 @query(_sql_split(_COMB))
@@ -476,7 +482,11 @@ def split_random(spark, d):
     return splitting.random_split(_comments(spark, d).select("internal_id"), "internal_id").select("internal_id", "split")
 
 
-@query()
+_CHECKED = f"s AS ({_sql_split(_COMB)}), per AS (SELECT internal_id, count(DISTINCT split) AS n, count(*) FILTER (WHERE split IS NULL) AS without FROM s GROUP BY internal_id), j AS (SELECT s.split, h.* FROM s JOIN {H} h USING (internal_id))"
+_PRESENT = " UNION ALL ".join(f"SELECT '{c}_in_{p}', count(*) FILTER (WHERE split = '{p}' AND {c} = 1) > 0 FROM j" for c in LABELS for p in ("train", "val", "test"))
+
+
+@query(f"WITH {_CHECKED} SELECT 'disjoint' AS \"check\", count(*) FILTER (WHERE n > 1) = 0 AS passed FROM per UNION ALL SELECT 'complete', count(*) FILTER (WHERE without > 0) = 0 FROM per UNION ALL {_PRESENT}")
 def split_checks(spark, d):
     rows = splitting.stratified_split(_comments(spark, d).select("internal_id", *LABELS), "internal_id")
     return splitting.split_checks(rows, "internal_id")

@@ -55,6 +55,20 @@ def metrics_by_source(spark, d):
     return metrics.overall(_pred(spark, d), ["source"])
 
 
+_PLACED = f"""p AS (SELECT * FROM {P} WHERE sample_id LIKE 'EMO-%'), h AS (SELECT source_row_id::VARCHAR AS row_id, lower(trim(domain)) AS domain FROM harmonized_pre_dedup WHERE source_dataset = 'EmoNoBa' AND lower(trim(domain)) NOT IN ('', 'nan', 'none')),
+    m AS (SELECT row_id, min(domain) AS domain FROM h WHERE row_id IS NOT NULL GROUP BY row_id), q AS (SELECT p.*, coalesce(m.domain, '') AS domain FROM p LEFT JOIN m ON split_part(p.sample_id, '-', 2) = m.row_id)"""
+
+
+@query(_overall("domain").replace(_LONG, f"{_PLACED}, l AS ({S.long_predictions('q', keep='domain')})", 1).replace("substr(sample_id, 1, 3) AS source,", "domain,").replace(f"AS w FROM {P})", "AS w FROM q)"))
+def metrics_by_domain(spark, d):
+    """Of the one source that has domains, the metrics by domain ('' where it is missing)."""
+    rows = _pred(spark, d).where("sample_id like 'EMO-%'").withColumn("row_id", F.split("sample_id", "-")[1])
+    place = F.lower(F.trim("domain"))
+    known = read(spark, d, "harmonized_pre_dedup").where("source_dataset = 'EmoNoBa' and source_row_id is not null").where(~place.isin("", "nan", "none"))
+    known = known.groupBy(F.col("source_row_id").cast("string").alias("row_id")).agg(F.min(place).alias("domain"))
+    return metrics.overall(rows.join(known, "row_id", "left").withColumn("domain", F.coalesce("domain", F.lit(""))), ["domain"])
+
+
 _PAIRS = []
 for _a in LABELS:
     for _b in LABELS:
@@ -136,17 +150,18 @@ def seed_summary_population(spark, d):
 # -- thresholds -----------------------------------------------------------------------------
 
 
-def _grid(step: float) -> str:
-    return "g AS (SELECT unnest([" + ", ".join(map(repr, thresholds.grid(step))) + "]::DOUBLE[]) AS tau)"
+def _grid(step: float, rounded: bool) -> str:
+    marks = thresholds.grid(step, 4 if rounded else None)
+    return "g AS (SELECT mark, round(mark, 4) AS tau FROM (SELECT unnest([" + ", ".join(map(repr, marks)) + "]::DOUBLE[]) AS mark))"
 
 
-def _sweep(step: float, labels=LABELS) -> str:
-    return f"""WITH {_grid(step)}, l AS ({S.long_predictions(labels=labels)}),
-    c AS (SELECT label, tau, count_if(y = 1 AND prob >= tau) AS tp, count_if(y = 0 AND prob >= tau) AS fp, count_if(y = 1 AND prob < tau) AS fn FROM l, g GROUP BY label, tau), s AS (SELECT *, {_F1} AS f1 FROM c)"""
+def _sweep(step: float, labels=LABELS, rounded: bool = True) -> str:
+    return f"""WITH {_grid(step, rounded)}, l AS ({S.long_predictions(labels=labels)}),
+    c AS (SELECT label, tau, count_if(y = 1 AND prob >= mark) AS tp, count_if(y = 0 AND prob >= mark) AS fp, count_if(y = 1 AND prob < mark) AS fn FROM l, g GROUP BY label, tau), s AS (SELECT *, {_F1} AS f1 FROM c)"""
 
 
 def _best(step: float, fallback: float) -> str:
-    return f"{_sweep(step)}, r AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY f1 DESC, tau) AS n FROM s) SELECT label, CASE WHEN f1 > 0 THEN tau ELSE {fallback} END AS tau, round(f1, 6) AS f1 FROM r WHERE n = 1"
+    return f"{_sweep(step, rounded=fallback == thresholds.LOW)}, r AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY f1 DESC, tau) AS n FROM s) SELECT label, CASE WHEN f1 > 0 THEN tau ELSE {fallback} END AS tau, round(f1, 6) AS f1 FROM r WHERE n = 1"
 
 
 @query(_best(0.01, 0.05))
@@ -260,8 +275,9 @@ def random_forest(spark, d):
 @query()
 def svc_calibrated(spark, d):
     fit, rest = _vectors(spark, d)
-    for c in LABELS:
-        rest = models.CalibratedSvc().fit(fit, c, "features").predict_proba(rest, "features", f"prob_{c}")
+    fitted = models.at_once(lambda c: models.CalibratedSvc().fit(fit, c, "features"), LABELS)
+    for c, model in zip(LABELS, fitted):
+        rest = model.predict_proba(rest, "features", f"prob_{c}")
     return _probabilities(rest)
 
 

@@ -112,8 +112,10 @@ def test_chain(spark, tmp_path):
         models.Chain(models.logistic()).predict_proba(df)
     svc = models.CalibratedSvc().fit(df, "a", "features").predict_proba(df, "features", "p").collect()
     assert sum((r.p > 0.5) == (r.a == 1) for r in svc) > 105 and all(0 <= r.p <= 1 for r in svc)
-    huber = models.ModifiedHuber(2, steps=60, rate=2.0).fit(df, "a", "features").predict_proba(df, "features", "p").collect()
-    assert sum((r.p > 0.5) == (r.a == 1) for r in huber) > 100
+    huber = models.ModifiedHuber(("a", "b"), steps=60, rate=2.0).fit(df).predict_proba(df).collect()
+    assert sum((r.prob_a > 0.5) == (r.a == 1) for r in huber) > 100 and len(huber) == 120
+    sparse = df.where("doc < 40").withColumn("features", F.lit(None)).drop("features").join(spark.createDataFrame([(i, Vectors.sparse(2, {0: i / 40})) for i in range(40)], ["doc", "features"]), "doc")
+    assert models.ModifiedHuber(("a", "b"), steps=2).fit(sparse.unionByName(df.where("doc >= 40"))).predict_proba(sparse).count() == 40
     bayes = models.Chain(models.complement_bayes(), ("a", "b")).fit(df).predict_proba(df)
     assert bayes.where("prob_a between 0 and 1").count() == 120
 
@@ -137,6 +139,22 @@ def test_nearest(spark):
         assert got == want
 
 
+def test_nearest_in_leading_directions(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(7)
+    x = rng.normal(size=(40, 6))
+    df = spark.createDataFrame([(k, int(k % 2), Vectors.dense(v)) for k, v in enumerate(x)], ["i", "a", "features"])
+    table = models.directions(df, "features", 3)
+    near = np.linalg.svd(x)[2][:3].T
+    assert np.allclose(np.abs(near.T @ table), np.eye(3), atol=1e-6)
+    got = {r.i: r.reduced for r in models.reduced(df, "features", table).collect()}
+    assert all(np.allclose(got[k], x[k] @ table) for k in got)
+    rows = models.reduced(df, "features", table)
+    shares = models.neighbour_shares(rows.where("i < 5"), rows, "i", "reduced", ("a",), 3).collect()
+    assert len(shares) == 5 and all(round(r.prob_a * 3, 2) in (0, 1, 2, 3) for r in shares)
+
+
 def test_orders():
     freq = ["joy", "anger", "sadness", "surprise", "disgust", "fear"]
     assert models.chain_order("reverse", freq, freq)[0] == "fear" and models.chain_order("alphabetical", freq, freq) == sorted(freq)
