@@ -367,10 +367,14 @@ def _nearest_block(queries: DataFrame, base: DataFrame, key: str, vector: str, k
 
 def directions(df: DataFrame, features: str, width: int):
     """The ``width`` leading right singular vectors of the features (as they stand, not centred), a column each."""
-    from pyspark.mllib.linalg import Vectors as Old
     from pyspark.mllib.linalg.distributed import RowMatrix
+    from pyspark.mllib.util import MLUtils
 
-    return RowMatrix(df.select(features).rdd.map(lambda r: Old.fromML(r[0]))).computeSVD(width).V.toArray()
+    # the solver runs a job for each product with the matrix: its rows stay in the JVM
+    rows = MLUtils.convertVectorColumnsFromML(df.select(features), features).persist()
+    out = RowMatrix(rows).computeSVD(width).V.toArray()
+    rows.unpersist()
+    return out
 
 
 def reduced(df: DataFrame, features: str, table, out: str = "reduced") -> DataFrame:

@@ -289,9 +289,9 @@ def sgd_modified_huber(spark, d):
 
 @query()
 def svd_knn(spark, d):
-    """Rows held out, each with the label shares of its five nearest fitted rows in the 200 leading directions."""
+    """Rows held out, each with the label shares of its five nearest fitted rows in the 50 leading directions."""
     fit, rest = _vectors(spark, d)
-    table = models.directions(fit, "features", 200)
+    table = models.directions(fit, "features", 50)
     key = F.xxhash64("doc").alias("key")
     base, held = (models.reduced(x, "features", table).select(key, "doc", "reduced", *LABELS).persist() for x in (fit, rest))
     got = models.neighbour_shares(held, base, "key", "reduced")
