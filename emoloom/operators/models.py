@@ -15,12 +15,13 @@ from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
 from pyspark.ml import Model
-from pyspark.ml.classification import LinearSVC, LogisticRegression, NaiveBayes, RandomForestClassifier
+from pyspark.ml.classification import LogisticRegression, NaiveBayes, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..schema import LABELS
+from . import joint
 
 
 def packed(df: DataFrame, part_bytes: int = 32 << 20) -> DataFrame:
@@ -61,9 +62,41 @@ def logistic(c: float = 1.0, weight: str | float | None = "balanced", max_iter:
         total = rows.agg(F.sum("_w")).first()[0] or 1.0
         return LogisticRegression(featuresCol=features, labelCol=label, weightCol="_w", regParam=1.0 / (c * total), elasticNetParam=0.0, standardization=False, maxIter=max_iter, tol=1e-6).fit(rows)
 
+    def together(df: DataFrame, order: tuple[str, ...], chained: bool, features: str) -> list:
+        """The links of a chain, all fitted in the same passes over the rows."""
+        rows = joint.Rows(df, features, order, weight="sample_weight" if "sample_weight" in df.columns else None)
+        links = [joint.Problem(k, tuple(range(k)) if chained else ()) for k in range(len(order))]
+        known = [rows.known(p) for p in links]
+        own = [k for k, (n, positives) in enumerate(known) if 0 < positives < n]
+        weights = [class_weights(weight, known[k][1], known[k][0]) for k in own]
+        got = dict(zip(own, joint.fitted(rows, [links[k] for k in own], weights, lambda total: 1.0 / (c * total), joint.log_loss, max_iter, 1e-6)))
+        rows.drop()
+        return [linear_model(df, "LogisticRegression", got[k][:-1], got[k][-1]).setFeaturesCol("_x") if k in got else Constant(float(known[k][1] > 0)) for k in range(len(order))]
+
+    fit.together = together
     return fit
 
 
+def class_weights(how: str | float | None, positives: int, n: int) -> tuple[float, float]:
+    """The weights that ``class_weight`` gives negatives and positives."""
+    if how == "balanced":
+        return (n / (2.0 * (n - positives)), n / (2.0 * positives)) if 0 < positives < n else (1.0, 1.0)
+    return 1.0, float(how) if how else 1.0
+
+
+def linear_model(df: DataFrame, kind: str, coefficients, intercept: float) -> Model:
+    """MLlib's model ("LogisticRegression" or "LinearSVC") with the given coefficients."""
+    import uuid
+
+    from pyspark.ml import classification
+    from pyspark.ml.common import _py2java
+    from pyspark.ml.linalg import Vectors
+
+    sc = df.sparkSession.sparkContext
+    made = getattr(sc._jvm.org.apache.spark.ml.classification, f"{kind}Model")
+    return getattr(classification, f"{kind}Model")(made(f"{kind}_{uuid.uuid4().hex[:12]}", _py2java(sc, Vectors.dense(coefficients)), float(intercept)))
+
+
 def complement_bayes(alpha: float = 1.0) -> Callable:
     def fit(df: DataFrame, label: str, features: str) -> Model:
         return NaiveBayes(featuresCol=features, labelCol=label, modelType="complement", smoothing=alpha).fit(df)
@@ -119,6 +152,9 @@ class Chain:
 
     def fit(self, df: DataFrame) -> Chain:
         """The links see the true labels before them, so all are fitted at once."""
+        if together := getattr(self.fit_one, "together", None):
+            self.links = together(df, tuple(self.order), self.chained, "features")
+            return self
         rows = df.withColumns({f"_y_{c}": F.col(c).cast("double") for c in self.order})
         seen = rows.agg(*(f(c).alias(f"{n}_{c}") for c in self.order for n, f in (("lo", F.min), ("hi", F.max)))).first()
 
@@ -179,16 +215,7 @@ class CalibratedSvc:
     pairs: list = field(default_factory=list)
 
     def fit(self, df: DataFrame, label: str, features: str, key: str = "doc") -> CalibratedSvc:
-        fold = F.pmod(F.xxhash64(key), F.lit(self.folds))
-        rows = df.withColumn("_fold", fold)
-        self.pairs = []
-        for k in range(self.folds):
-            stats = rows.where(F.col("_fold") != k).agg(F.sum(label).alias("p"), F.count("*").alias("n")).first()
-            inside = rows.where(F.col("_fold") != k).withColumn("_w", balanced(label, stats.p or 0, stats.n))
-            svc = LinearSVC(featuresCol=features, labelCol=label, weightCol="_w", regParam=1.0 / max(stats.n, 1), maxIter=self.max_iter, standardization=False).fit(inside)
-            margins = self._margin(svc, rows.where(F.col("_fold") == k), features)
-            platt = LogisticRegression(featuresCol="_m", labelCol=label, regParam=0.0, maxIter=50).fit(VectorAssembler(inputCols=["_margin"], outputCol="_m").transform(margins))
-            self.pairs.append((svc, float(platt.coefficients[0]), float(platt.intercept)))
+        self.pairs = fit_calibrated(df, (label,), features, key, self.folds, self.max_iter)[0].pairs
         return self
 
     @staticmethod
@@ -206,6 +233,19 @@ class CalibratedSvc:
         return rows.withColumn(out, total / len(self.pairs)).drop(*(f"_m{k}" for k in range(len(self.pairs))))
 
 
+def fit_calibrated(df: DataFrame, labels: tuple[str, ...], features: str = "features", key: str = "doc", folds: int = 3, max_iter: int = 50) -> list[CalibratedSvc]:
+    """A calibrated SVM for each label: the SVMs of all labels and folds take
+    their steps in the same passes over the rows, their curves likewise."""
+    rows = joint.Rows(df, features, labels, part=F.pmod(F.xxhash64(key), F.lit(folds)))
+    problems = [joint.Problem(k, (), fold) for k in range(len(labels)) for fold in range(folds)]
+    weights = [class_weights("balanced", positives, n) for n, positives in map(rows.known, problems)]
+    points = joint.fitted(rows, problems, weights, lambda total: 1.0 / max(total, 1.0), joint.hinge_loss, max_iter, 1e-6)
+    curves = rows.calibrated(problems, points, 50, 1e-6)
+    rows.drop()
+    pairs = [(linear_model(df, "LinearSVC", w[:-1], w[-1]).setFeaturesCol(features), *curve) for w, curve in zip(points, curves)]
+    return [CalibratedSvc(folds, max_iter, pairs[k * folds : (k + 1) * folds]) for k in range(len(labels))]
+
+
 @dataclass
 class ModifiedHuber:
     """A chain of linear models under the modified Huber loss, balanced, by full

@@ -234,13 +234,20 @@ def prediction_output(spark, d):
 
 # -- models ----------------------------------------------------------------------------------
 
-def _vectors(spark, d) -> tuple[DataFrame, DataFrame]:
-    """Training rows with vectors of 10,000 word and 15,000 letter terms: fitted rows and those held out, by hash."""
+def _training(spark, d) -> tuple[DataFrame, DataFrame]:
+    """Training rows: those to fit on and those held out, by hash."""
     rows = spread(read(spark, d, "train").select(F.col("sample_id").alias("doc"), "processed_text", *LABELS)).persist()
     held = F.pmod(F.xxhash64("doc"), F.lit(5)) == 0
-    fit, rest = rows.where(~held), rows.where(held)
+    return rows.where(~held), rows.where(held)
+
+
+def _vectors(spark, d, pack: bool = True) -> tuple[DataFrame, DataFrame]:
+    """Training rows with vectors of 10,000 word and 15,000 letter terms: fitted
+    rows and those held out.  ``pack`` keeps them in memory, for what reads them more than once."""
+    fit, rest = _training(spark, d)
     x = tfidf.TfIdf().fit(fit, "doc", "processed_text")
-    return models.packed(x.vectors(fit, "processed_text")), models.packed(x.vectors(rest, "processed_text"))
+    made = x.vectors(fit, "processed_text"), x.vectors(rest, "processed_text")
+    return tuple(map(models.packed, made)) if pack else made
 
 
 def _probabilities(df: DataFrame, digits: int = 4) -> DataFrame:
@@ -262,7 +269,7 @@ def chain_cnb(spark, d):
 
 @query()
 def independent_lr(spark, d):
-    fit, rest = _vectors(spark, d)
+    fit, rest = _vectors(spark, d, pack=False)
     return _probabilities(models.Chain(models.logistic(), chained=False).fit(fit).predict_proba(rest))
 
 
