@@ -256,8 +256,8 @@ def _probabilities(df: DataFrame, digits: int = 4) -> DataFrame:
 
 @query()
 def chain_lr(spark, d):
-    fit, rest = _vectors(spark, d)
-    order = [r.label for r in audit.label_order(fit).orderBy("place").collect()]
+    order = [r.label for r in audit.label_order(_training(spark, d)[0]).orderBy("place").collect()]
+    fit, rest = _vectors(spark, d, pack=False)
     return _probabilities(models.Chain(models.logistic(), tuple(order)).fit(fit).predict_proba(rest))
 
 
