@@ -51,7 +51,8 @@ def found_thresholds(df: DataFrame, how: str) -> dict[str, float]:
 def run(config: Config, train: DataFrame, val: DataFrame, test: DataFrame | None = None, doc: str = "sample_id", raw: str = "text", clean: str = "processed_text") -> DataFrame:
     """(run, part, n, macro_f1, …): metrics on validation and, if given, test rows."""
     x = extractor(config.features, **{k: v for k, v in config.settings.items() if k != "forest"}).fit(train, doc, raw, clean)
-    chain = Chain(factory(config), config.order, config.chained).fit(packed(x.transform(train, doc, raw, clean)))
+    made, rows = factory(config), x.transform(train, doc, raw, clean)
+    chain = Chain(made, config.order, config.chained).fit(rows if hasattr(made, "together") else packed(rows))
     parts, taus = [], None
     for part, rows in (("val", val), ("test", test)):
         if rows is None:
