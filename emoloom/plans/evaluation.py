@@ -281,9 +281,8 @@ def random_forest(spark, d):
 
 @query()
 def svc_calibrated(spark, d):
-    fit, rest = _vectors(spark, d)
-    fitted = models.at_once(lambda c: models.CalibratedSvc().fit(fit, c, "features"), LABELS)
-    for c, model in zip(LABELS, fitted):
+    fit, rest = _vectors(spark, d, pack=False)
+    for c, model in zip(LABELS, models.fit_calibrated(fit, LABELS)):
         rest = model.predict_proba(rest, "features", f"prob_{c}")
     return _probabilities(rest)
 
