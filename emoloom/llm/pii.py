@@ -35,7 +35,7 @@ PLACEHOLDER = {"email": "[EMAIL]", "phone": "[PHONE]", "id_number": "[ID_NUMBER]
 ROUNDS = 3
 GOOD = 0.5  # the least confidence of a pattern
 NAME = 0.25  # and of a found name
-SHARE = 100_000  # a pattern or found name stands for one in so many instances at least, which bounds what is broadcast
+BOTH = 0.7  # the least confidence of each of the two patterns that show a name
 # Seed words of identity numbers.
 ID_SEEDS = (
     "nid", "এনআইডি", "national id", "জাতীয় পরিচয়পত্র", "voter id", "ভোটার আইডি", "id card number", "আইডি কার্ডের নম্বর",
@@ -186,7 +186,7 @@ class Finder:
                     found.append((s, e, "name"))
                 elif (a in self.given and a not in self.ordinary) or b in self.family:
                     best = sorted((self.names.get(p, 0.0) for p in name_patterns(plain, s, e)), reverse=True)
-                    if len(best) > 1 and best[1] >= 0.7:
+                    if len(best) > 1 and best[1] >= BOTH:
                         found.append((s, e, "name"))
         out, end = [], -1
         for s, e, kind in sorted(found, key=lambda x: (x[0], -x[1])):
@@ -266,25 +266,21 @@ def scored(edges: DataFrame, rounds: int = ROUNDS) -> tuple[DataFrame, DataFrame
     return pattern, words, trust
 
 
-def finder(df: DataFrame, gazetteer: DataFrame, text: str = "text", share: int = SHARE) -> tuple[Finder, DataFrame, DataFrame]:
+def finder(df: DataFrame, gazetteer: DataFrame, text: str = "text") -> tuple[Finder, DataFrame, DataFrame]:
     """A finder with the gazetteer's names, the names found and the good
     patterns, and the tables of patterns and of found words.
 
-    Patterns and found names count from one in ``share`` instances on (and from
-    three on), so at most ``share`` times the patterns of an instance are
-    broadcast; the gazetteer and what is known of its names is a given list."""
+    All found names count, and all good patterns from three instances on,
+    however large the table; only patterns that decide nothing (of names those
+    under BOTH) aren't broadcast."""
     listed = gazetteer.where("kind in ('given_name', 'family_name') and entry is not null").select("kind", "entry").distinct().collect()
     given = {folded(r.entry)[0].lower() for r in listed if r.kind == "given_name"}
     family = {folded(r.entry)[0].lower() for r in listed if r.kind == "family_name"}
     pattern, words, trust = scored(instances(df, given, family, text))
     ordinary = {r.partner for r in trust.where("trust < 0.2").collect()}
     pattern = common.cut(pattern, "patterns")
-    total = {r.kind: r.n for r in pattern.groupBy("kind").agg(F.sum("n").alias("n")).collect()}
-    often = F.lit(False)
-    for kind, n in total.items():
-        often = often | ((F.col("kind") == kind) & (F.col("n") * share >= n))
-    good = pattern.where(F.col("confidence") >= GOOD).where("n >= 3").where(often).collect()
-    new = words.where(F.col("confidence") >= NAME).where(F.col("n") * share >= total.get("name", 0)).collect()
+    good = pattern.where(F.col("confidence") >= F.when(F.col("kind") == "name", BOTH).otherwise(GOOD)).where("n >= 3").collect()
+    new = words.where(F.col("confidence") >= NAME).collect()
     own = {"name": {}, "number": {}}
     for r in good:
         own[r.kind][r.pattern] = r.confidence

@@ -55,3 +55,26 @@ def test_unseen_names_are_learned(spark):
     masked = {r.internal_id: r.masked_text for r in P.masked(df, gaz).collect()}
     assert masked[97] == "কাল [NAME] এসেছিল" and masked[900] is None and masked[901] == ""
     assert P.found(df.limit(0), gaz).collect() == []
+
+
+def test_rare_names_and_patterns_count_in_large_tables(spark, monkeypatch):
+    """What is found doesn't depend on how many other instances the table has."""
+    known = [("তানভীন", "মিরধান"), ("রুশমিলা", "সরখেলী")]
+    rows = ["নাম: %s %s; মতামত: ভালো লাগল" % known[k % 2] for k in range(40)]
+    rows += ["নাম: তানভীন দেওয়ানিক; মতামত: বেশ ভালো", "কাল তানভীন দেওয়ানিক এসেছিল", "আমার নথি নং 9598361539 হারিয়েছে", "কাল নথি নং 9598361540 হারিয়েছে"]
+    rows += ["my nid 9598361539 নথি নং 9598361541 lost"] * 3
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(rows)], "internal_id long, text string")
+    gaz = spark.createDataFrame([(w, "given_name") for w in ("তানভীন", "রুশমিলা")] + [(w, "family_name") for w in ("মিরধান", "সরখেলী")], "entry string, kind string")
+    small, table, _ = P.finder(df, gaz)
+    instances = P.instances
+    # the same graph beside very many instances of other names and numbers
+    def more(*a):
+        one = instances(*a)
+        other = spark.createDataFrame([("name", "তানভীন", f"মিরধান{k}", 1, [f"<x{k}"], 400_000) for k in range(3)] + [("number", "9", "", 0, [f"y{k}"], 400_000) for k in range(3)], "kind string, a string, b string, known int, patterns array<string>, n long")
+        return one.unionByName(other)
+
+    monkeypatch.setattr(P, "instances", more)
+    large = P.finder(df, gaz)[0]
+    rare = {r.pattern for r in table.where("kind = 'name' and confidence >= 0.7 and 3 <= n and n < 10").collect()}
+    assert small.names and "দেওয়ানিক" in small.family
+    assert set(small.names) == set(large.names) and small.ids.keys() == large.ids.keys() and rare <= set(large.names)
