@@ -334,6 +334,17 @@ class Channel:
 
     # -- lost letters -----------------------------------------------------
 
+    def _alphabet(self, word: str) -> list[str]:
+        """What a lost letter of a word may be: the letters of the word's script
+        that words of the corpus have; in Latin words those with accents, as
+        no single byte is lost to decoding."""
+        blocks = {ord(c) >> 7 for c in word if c != "�"}
+        if 0x13 in blocks or not blocks:
+            return _LETTERS
+        if 0 in blocks:
+            blocks = {1, 2, 3}
+        return sorted(c for c in self.pairs if ord(c) >> 7 in blocks and unicodedata.category(c)[0] in "LM")
+
     def lost(self, word: str) -> str:
         """A word with lost letters, each shown as �: the most frequent word
         that fits, else the best letters by pairs, else the word as it is."""
@@ -348,12 +359,13 @@ class Channel:
                 found = whole
             elif gaps * 4 <= len(word):
                 best = {"^": (0.0, "")}
-                for c in word + "$":
+                alphabet = self._alphabet(word)
+                for c in word + "$" if alphabet else "":
                     new: dict[str, tuple[float, str]] = {}
-                    for b in _LETTERS if c == "�" else [c]:
+                    for b in alphabet if c == "�" else [c]:
                         new[b] = max((s + self.pair(a, b), t + (b if b != "$" else "")) for a, (s, t) in best.items())
                     best = new
-                found = best["$"][1]
+                found = best["$"][1] if alphabet else word
         if len(self.memo) < 100_000:
             self.memo[word] = found
         return found

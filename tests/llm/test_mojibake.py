@@ -85,3 +85,12 @@ def test_viterbi_is_exact():
         if len(path) == 3:
             best = max(sum(c.pair(a, b) for a, b in zip("^" + w, w)) for w in ("".join(x) for x in itertools.product(*[o or (p,) for p, o in path])))
             assert abs(got - best) < 1e-9
+
+
+def test_lost_letters_of_other_scripts():
+    """A lost letter is one of the word's own script: no Bangla letter in a Hindi or Latin word."""
+    c = Channel(dict.fromkeys("नमस्कार नमक नमकीन नमन".split(), 5) | COUNTS)
+    assert c.restore("आज नम�ीला खाना मिला") == ("आज नमकीला खाना मिला", True)
+    assert c.restore("they don�t want any") == ("they don�t want any", True)
+    c = Channel(dict.fromkeys("café cafés".split(), 5) | COUNTS)
+    assert c.restore("the caf�teria was closed") == ("the caféteria was closed", True)
