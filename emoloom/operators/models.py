@@ -15,13 +15,13 @@ from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
 from pyspark.ml import Model
-from pyspark.ml.classification import LogisticRegression, NaiveBayes, RandomForestClassifier
+from pyspark.ml.classification import LogisticRegression, NaiveBayes
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..schema import LABELS
-from . import joint
+from . import forest as sparse_forest, joint
 
 
 def packed(df: DataFrame, part_bytes: int = 32 << 20) -> DataFrame:
@@ -105,10 +105,19 @@ def complement_bayes(alpha: float = 1.0) -> Callable:
 
 
 def forest(trees: int = 200, seed: int = 42) -> Callable:
+    """A factory of balanced random forests, those of independent labels grown in the same passes."""
+
     def fit(df: DataFrame, label: str, features: str) -> Model:
-        stats = df.agg(F.sum(label).alias("p"), F.count("*").alias("n")).first()
-        return RandomForestClassifier(featuresCol=features, labelCol=label, weightCol="_w", numTrees=trees, seed=seed).fit(df.withColumn("_w", balanced(label, stats.p or 0, stats.n)))
+        got = sparse_forest.grown(df, (label,), features, trees, seed)[0]
+        return Constant(got) if isinstance(got, float) else got
 
+    def together(df: DataFrame, order: tuple[str, ...], chained: bool, features: str) -> list | None:
+        if chained:  # each link has features of its own
+            return None
+        got = sparse_forest.grown(df, order, features, trees, seed)
+        return [Constant(x) if isinstance(x, float) else x.setFeaturesCol("_x") for x in got]
+
+    fit.together = together
     return fit
 
 
@@ -152,8 +161,9 @@ class Chain:
 
     def fit(self, df: DataFrame) -> Chain:
         """The links see the true labels before them, so all are fitted at once."""
-        if together := getattr(self.fit_one, "together", None):
-            self.links = together(df, tuple(self.order), self.chained, "features")
+        together = getattr(self.fit_one, "together", None)
+        if together and (links := together(df, tuple(self.order), self.chained, "features")) is not None:
+            self.links = links
             return self
         rows = df.withColumns({f"_y_{c}": F.col(c).cast("double") for c in self.order})
         seen = rows.agg(*(f(c).alias(f"{n}_{c}") for c in self.order for n, f in (("lo", F.min), ("hi", F.max)))).first()

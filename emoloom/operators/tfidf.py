@@ -259,12 +259,12 @@ class TfIdf:
             import numpy as np
 
             for batch in batches:  # the blocks of a row are neighbours
-                indices, values = (batch.column(k).to_pylist() for k in (2, 3))
-                made = []
-                for row in range(0, len(batch), n):
-                    at = np.concatenate([np.array(indices[row + b], np.int32) + starts[b] for b in range(n)]).astype(np.int32)
-                    made.append({"type": 0, "size": width, "indices": at, "values": np.concatenate([np.array(values[row + b], np.float64) for b in range(n)])})
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(range(0, len(batch), n), pa.int32())), pa.array(made, of)], names=["doc", "features"])
+                block, sizes = (x.to_numpy(zero_copy_only=False) for x in (batch.column(1), batch.column(2).value_lengths()))
+                at = (batch.column(2).flatten().to_numpy(zero_copy_only=False) + np.repeat(np.array(starts)[block], sizes)).astype(np.int32)
+                ends = pa.array(np.concatenate([[0], np.cumsum(sizes)[n - 1 :: n]]).astype(np.int32))
+                rows = len(batch) // n
+                made = [pa.array(np.zeros(rows, np.int8)), pa.array(np.full(rows, width, np.int32)), pa.ListArray.from_arrays(ends, pa.array(at)), pa.ListArray.from_arrays(ends, batch.column(3).flatten())]
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(range(0, len(batch), n), pa.int32())), pa.StructArray.from_arrays(made, fields=list(of))], names=["doc", "features"])
 
         schema = StructType([StructField("doc", rows.schema["doc"].dataType), StructField("features", VectorUDT())])
         return cells.mapInArrow(pack, schema).select("doc.*", col("features").alias(out))
