@@ -367,14 +367,14 @@ def _sparse():
     return read
 
 
-def nearest(queries: DataFrame, base: DataFrame, key: str, vector: str, k: int = 5, block: int = 4096) -> DataFrame:
+def nearest(queries: DataFrame, base: DataFrame, key: str, vector: str, k: int = 5, block: int = 1 << 16) -> DataFrame:
     """(query, neighbour, cosine, place): the ``k`` nearest rows by cosine, ties by id.
 
     The stated set of queries meets the base in blocks of about ``block``, which
-    bounds what is broadcast: each partition of the base keeps the best ``k`` of
-    every query, which are then merged.  No pair of rows is shuffled.  Rows
-    without a vector are nobody's neighbours."""
-    rows = queries.select(F.col(key).cast("long").alias("k"), F.col(vector).alias("v")).where("k is not null and v is not null")
+    bounds what is broadcast: each task keeps the best ``k`` of every query over
+    its part of the base, which are then merged.  No pair of rows is shuffled.
+    Rows without a vector are nobody's neighbours."""
+    rows = queries.select(F.col(key).cast("long").alias("k"), F.col(vector).cast("array<double>").alias("v")).where("k is not null and v is not null")
     blocks = -(-rows.count() // block) or 1
     found = None
     for n in range(blocks):
@@ -385,45 +385,79 @@ def nearest(queries: DataFrame, base: DataFrame, key: str, vector: str, k: int =
 
 
 def _nearest_block(queries: DataFrame, base: DataFrame, key: str, vector: str, k: int) -> DataFrame:
+    """Of each task the best ``k`` of every query.  Cosines are taken in single
+    precision first; what comes within its error of a query's last place so far
+    is taken again in double precision, which decides."""
     import numpy as np
-    import pandas as pd
+    import pyarrow as pa
+
+    def opened(batch):
+        v = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(len(batch), -1)
+        return batch.column(0).to_numpy(), v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)
 
-    rows = queries.toPandas()
-    ids = rows["k"].to_numpy()
-    q = np.array(rows["v"].tolist(), np.float64).reshape(len(rows), -1)
-    q /= np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-12)
-    kept = queries.sparkSession.sparkContext.broadcast((ids, q))
+    made = [opened(b) for b in queries.select("k", "v").toArrow().to_batches() if len(b)]
+    ids = np.concatenate([x for x, _ in made]) if made else np.zeros(0, np.int64)
+    q = np.concatenate([v for _, v in made]) if made else np.zeros((0, 0))
+    order = np.argsort(ids, kind="stable")
+    kept = queries.sparkSession.sparkContext.broadcast((ids[order], q[order]))
 
     def best(batches):
         ids, q = kept.value
-        for pdf in batches:
-            if not len(pdf) or not len(ids):
+        if not len(ids):
+            return
+        error = np.float32((q.shape[1] + 4) * 2.0**-23)
+        single = q.astype(np.float32)
+        cosine, near, full = np.full((len(ids), k), -2.0), np.zeros((len(ids), k), np.int64), False
+        for batch in batches:
+            if not len(batch):
                 continue
-            x = np.array(pdf["v"].tolist(), np.float64)
-            x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
-            own = pdf["k"].to_numpy()
+            own, x = opened(batch)
+            columns = np.ascontiguousarray(x.astype(np.float32).T)
+            # a row is not its own neighbour
+            a, b = np.searchsorted(ids, own), np.searchsorted(ids, own, "right")
+            self_q, self_x = np.concatenate([np.arange(i, j) for i, j in zip(a, b) if i < j] or [np.zeros(0, int)]), np.repeat(np.arange(len(own)), b - a)
             for start in range(0, len(ids), 256):
-                some = ids[start : start + 256]
-                part = q[start : start + 256] @ x.T
-                part[some[:, None] == own[None, :]] = -2
-                order = np.lexsort((np.broadcast_to(own, part.shape), -part.round(9)), axis=1)[:, :k]
-                n = order.shape[1]
-                out = pd.DataFrame({"query": np.repeat(some, n), "neighbour": own[order].ravel(), "cosine": np.take_along_axis(part, order, 1).ravel()})
-                yield out[out.cosine > -2]
-
-    rows = base.select(F.col(key).cast("long").alias("k"), F.col(vector).alias("v")).where("k is not null and v is not null")
-    return rows.mapInPandas(best, "query long, neighbour long, cosine double")
+                part = single[start : start + 256] @ columns
+                mine = (self_q >= start) & (self_q < start + 256)
+                part[self_q[mine] - start, self_x[mine]] = -2
+                least = cosine[start : start + 256, -1].astype(np.float32)
+                if not full and part.shape[1] > k:
+                    least = np.maximum(least, np.partition(part, part.shape[1] - k, axis=1)[:, -k])
+                row, at = divmod(np.flatnonzero(part >= (least - 2 * error)[:, None]), part.shape[1])
+                seen = part[row, at] > -1.5
+                row, at = row[seen], at[seen]
+                if not len(row):
+                    continue
+                some = np.unique(row)
+                c = np.concatenate([cosine[start + some].ravel(), np.einsum("ij,ij->i", q[start + row], x[at])])
+                n = np.concatenate([near[start + some].ravel(), own[at]])
+                r = np.concatenate([np.repeat(some, k), row])
+                order = np.lexsort((n, -c.round(9), r))
+                r, starts = r[order], np.searchsorted(r[order], some)
+                first = order[np.add.outer(starts, np.arange(k)).ravel()]  # of every row there are k at least
+                cosine[start + some], near[start + some] = c[first].reshape(-1, k), n[first].reshape(-1, k)
+            full = bool((cosine[:, -1] > -2).all())
+        found = cosine.ravel() > -2
+        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, k)[found]), pa.array(near.ravel()[found]), pa.array(cosine.ravel()[found])], names=["query", "neighbour", "cosine"])
+
+    rows = base.select(F.col(key).cast("long").alias("k"), F.col(vector).cast("array<double>").alias("v")).where("k is not null and v is not null")
+    # what a task returns is its queries' best, so there is a task a core
+    return rows.coalesce(queries.sparkSession.sparkContext.defaultParallelism).mapInArrow(best, "query long, neighbour long, cosine double")
 
 
 def directions(df: DataFrame, features: str, width: int):
     """The ``width`` leading right singular vectors of the features (as they stand, not centred), a column each."""
+    from pyspark import StorageLevel
     from pyspark.mllib.linalg.distributed import RowMatrix
     from pyspark.mllib.util import MLUtils
 
-    # the solver runs a job for each product with the matrix: its rows stay in the JVM
-    rows = MLUtils.convertVectorColumnsFromML(df.select(features), features).persist()
-    out = RowMatrix(rows).computeSVD(width).V.toArray()
-    rows.unpersist()
+    # the solver runs a job for each product with the matrix: its rows stay in the JVM, as vectors
+    sc = df.sparkSession.sparkContext
+    matrix = RowMatrix(MLUtils.convertVectorColumnsFromML(df.select(features), features))
+    rows = matrix._java_matrix_wrapper._java_model.rows()
+    rows.persist(sc._getJavaStorageLevel(StorageLevel(True, True, False, True)))
+    out = matrix.computeSVD(width).V.toArray()
+    rows.unpersist(False)
     return out
 
 
