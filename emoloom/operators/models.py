@@ -22,6 +22,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..schema import LABELS
 from . import forest as sparse_forest, joint
+from .leading import directions, reduced
 
 
 def packed(df: DataFrame, part_bytes: int = 32 << 20) -> DataFrame:
@@ -445,44 +446,6 @@ def _nearest_block(queries: DataFrame, base: DataFrame, key: str, vector: str, k
     return rows.coalesce(queries.sparkSession.sparkContext.defaultParallelism).mapInArrow(best, "query long, neighbour long, cosine double")
 
 
-def directions(df: DataFrame, features: str, width: int):
-    """The ``width`` leading right singular vectors of the features (as they stand, not centred), a column each."""
-    from pyspark import StorageLevel
-    from pyspark.mllib.linalg.distributed import RowMatrix
-    from pyspark.mllib.util import MLUtils
-
-    # the solver runs a job for each product with the matrix: its rows stay in the JVM, as vectors
-    sc = df.sparkSession.sparkContext
-    matrix = RowMatrix(MLUtils.convertVectorColumnsFromML(df.select(features), features))
-    rows = matrix._java_matrix_wrapper._java_model.rows()
-    rows.persist(sc._getJavaStorageLevel(StorageLevel(True, True, False, True)))
-    out = matrix.computeSVD(width).V.toArray()
-    rows.unpersist(False)
-    return out
-
-
-def reduced(df: DataFrame, features: str, table, out: str = "reduced") -> DataFrame:
-    """The other columns of ``df`` with ``out``, the features in the directions of ``table``, as an array."""
-    import numpy as np
-    import pyarrow as pa
-    from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
-
-    kept, sparse = df.sparkSession.sparkContext.broadcast(table), _sparse()
-
-    def project(batches):
-        for batch in batches:
-            row, at, v = sparse(batch.column(1))
-            made = np.zeros((len(batch), kept.value.shape[1]))
-            ends = np.searchsorted(row, np.arange(len(batch) + 1))
-            for k, (a, b) in enumerate(zip(ends, ends[1:])):
-                made[k] = v[a:b] @ kept.value[at[a:b]]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(list(made), pa.list_(pa.float64()))], names=["row", "p"])
-
-    rows = df.select(F.struct(*(c for c in df.columns if c != features)).alias("row"), F.col(features).alias("x"))
-    made = rows.mapInArrow(project, StructType([StructField("row", rows.schema["row"].dataType), StructField("p", ArrayType(DoubleType()))]))
-    return made.select("row.*", F.col("p").alias(out))
-
-
 def neighbour_shares(queries: DataFrame, base: DataFrame, key: str, vector: str, labels: tuple[str, ...] = LABELS, k: int = 5) -> DataFrame:
     """(query, prob_<label>…): for every query the share of its ``k`` nearest rows of ``base`` that have each label."""
     near = nearest(queries, base, key, vector, k).select("query", "neighbour")
