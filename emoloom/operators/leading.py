@@ -18,8 +18,7 @@ from pyspark.sql import DataFrame, functions as F
 
 ROWS = 1024  # of a block
 DENSE = 48  # a block's columns that are set in one row of so many or more are multiplied as a dense matrix
-VECTORS = 100  # of a pass
-SMALL = 1 << 11  # rows of a table whose passes take as many vectors as are sought
+VECTORS = 50  # of a pass: what each task sends back
 
 
 def blocks_of(row: np.ndarray, at: np.ndarray, v: np.ndarray, n: int):
@@ -117,10 +116,10 @@ class Rows:
 
         self.sc = df.sparkSession.sparkContext
         self.kept = df.select(F.col(features).alias("x")).mapInArrow(run, "block binary").rdd.map(lambda r: bytes(r[0])).persist(StorageLevel.MEMORY_AND_DISK)
-        facts = self.kept.map(pickle.loads).map(lambda block: (block["n"], block["width"])).collect()
-        if not facts:
+        widths = self.kept.map(lambda packed: pickle.loads(packed)["width"]).collect()
+        if not widths:
             raise ValueError("there are no rows")
-        self.n, self.width = sum(n for n, _ in facts), max(width for _, width in facts)
+        self.width = max(widths)
         # a task a core: a pass sends one product a task
         self.few = self.kept.coalesce(max(1, min(self.kept.getNumPartitions(), self.sc.defaultParallelism)))
 
@@ -138,7 +137,7 @@ class Rows:
 
         made = self.few.mapPartitions(one)
         out = made.treeReduce(np.add) if made.getNumPartitions() > 16 else reduce(np.add, made.collect())
-        now.unpersist()
+        now.destroy()
         return out
 
     def drop(self) -> None:
@@ -206,7 +205,7 @@ def lanczos(asked: Callable[[np.ndarray], np.ndarray], size: int, width: int, ve
 def directions(df: DataFrame, features: str, width: int) -> np.ndarray:
     """The ``width`` leading right singular vectors of the features (as they stand, not centred), a column each."""
     rows = Rows(df, features)
-    out = lanczos(rows.asked, rows.width, width, max(VECTORS, width) if rows.n <= SMALL else VECTORS)
+    out = lanczos(rows.asked, rows.width, width)
     rows.drop()
     return out
 
